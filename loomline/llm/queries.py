@@ -1,0 +1,49 @@
+"""The pN_ queries and their SQL, where SQL can say it."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomline.llm import capping, components, packing, tokenize
+from loomline.runtime import table
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return capping.cap_contributors(table(spark, d, "items")).filter("not kept").select(F.col("id").alias("itemId"))
+
+
+def p1_reservoir(spark: SparkSession, d: str) -> DataFrame:
+    """The sampling form: weights exp(score / 10), the same caps."""
+    return capping.cap_contributors(table(spark, d, "items"), temperature=10.0).filter("kept").select(F.col("id").alias("itemId"), "day", "contributor")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return components.group_ids(components.decision_links(table(spark, d, "cluster_decisions"), table(spark, d, "pair_cache")))
+
+
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokenize.encode_column(table(spark, d, "documents"))
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(tokenize.encode_column(table(spark, d, "documents"), count_only=True))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_reservoir, p2_found, p7_ids, p8_containers)}
+
+SQL = {
+    "p1_found": r"""
+        WITH i AS (SELECT id, min(createdAt) AS at, min(regexp_replace(lower(sourceId), '^\s+|\s+$', '', 'g')) AS who, min(qualityScore) AS q FROM items GROUP BY id),
+        n AS (SELECT CAST(at AS DATE) AS day, count(*) // 25 AS cap FROM i GROUP BY 1),
+        r AS (SELECT id, day, cap, row_number() OVER (PARTITION BY day, who ORDER BY CASE WHEN q BETWEEN 0 AND 100 THEN q ELSE -1 END DESC, at, id) AS k
+              FROM i JOIN n ON CAST(at AS DATE) = day)
+        SELECT id AS "itemId" FROM r WHERE k > cap""",
+    "p2_found": r"""
+        WITH RECURSIVE j AS (SELECT string_split(regexp_replace(lower(pairKey), '\s+', '', 'g'), '|') AS p FROM cluster_decisions
+                   WHERE kind = 'cluster_pair' AND relation = 'same_event'),
+        e AS (SELECT p[1] AS a, p[2] AS b FROM j WHERE len(p) = 2 UNION ALL SELECT leftClusterId, rightClusterId FROM pair_cache WHERE vectorSimilarity >= 0.9),
+        l AS (SELECT DISTINCT a, b FROM (SELECT a, b FROM e WHERE a <> b UNION ALL SELECT b, a FROM e WHERE a <> b)),
+        reach AS (SELECT a AS id, a AS seen FROM l UNION SELECT r.id, l.b FROM reach r JOIN l ON l.a = r.seen)
+        SELECT id AS "clusterId", min(seen) AS "groupId" FROM reach GROUP BY id""",
+}
