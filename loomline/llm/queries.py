@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import capping, components, packing, tokenize
+from loomline.llm import capping, components, near_dup, packing, tokenize
 from loomline.runtime import table
 
 
@@ -22,6 +22,20 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return components.group_ids(components.decision_links(table(spark, d, "cluster_decisions"), table(spark, d, "pair_cache")))
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    items = table(spark, d, "items").select(F.lit("items").alias("tableName"), "id", F.col("originalTitle").alias("text"))
+    clusters = table(spark, d, "content_clusters")
+    return items.unionByName(clusters.select(F.lit("content_clusters").alias("tableName"), "id", F.concat("title", F.lit(" "), "summary").alias("text")))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return near_dup.near_duplicate_pairs(_texts(spark, d))
+
+
+def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    return near_dup.near_duplicate_groups(_texts(spark, d))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.encode_column(table(spark, d, "documents"))
 
@@ -30,14 +44,14 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(tokenize.encode_column(table(spark, d, "documents"), count_only=True))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_reservoir, p2_found, p7_ids, p8_containers)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_reservoir, p2_found, p3_found, p3_groups, p7_ids, p8_containers)}
 
 SQL = {
     "p1_found": r"""
-        WITH i AS (SELECT id, min(createdAt) AS at, min(regexp_replace(lower(sourceId), '^\s+|\s+$', '', 'g')) AS who, min(qualityScore) AS q FROM items GROUP BY id),
-        n AS (SELECT CAST(at AS DATE) AS day, count(*) // 25 AS cap FROM i GROUP BY 1),
-        r AS (SELECT id, day, cap, row_number() OVER (PARTITION BY day, who ORDER BY CASE WHEN q BETWEEN 0 AND 100 THEN q ELSE -1 END DESC, at, id) AS k
-              FROM i JOIN n ON CAST(at AS DATE) = day)
+        WITH i AS (SELECT id, min(createdAt) AS made, min(regexp_replace(lower(sourceId), '^\s+|\s+$', '', 'g')) AS who, min(qualityScore) AS q FROM items GROUP BY id),
+        n AS (SELECT CAST(made AS DATE) AS day, count(*) // 25 AS cap FROM i GROUP BY 1),
+        r AS (SELECT id, day, cap, row_number() OVER (PARTITION BY day, who ORDER BY CASE WHEN q BETWEEN 0 AND 100 THEN q ELSE -1 END DESC, made, id) AS k
+              FROM i JOIN n ON CAST(made AS DATE) = day)
         SELECT id AS "itemId" FROM r WHERE k > cap""",
     "p2_found": r"""
         WITH RECURSIVE j AS (SELECT string_split(regexp_replace(lower(pairKey), '\s+', '', 'g'), '|') AS p FROM cluster_decisions
