@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import capping, components, near_dup, packing, tokenize
+from loomline.llm import capping, components, lookalike, names, near_dup, packing, tokenize
 from loomline.runtime import table
 
 
@@ -36,6 +36,26 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_dup.near_duplicate_groups(_texts(spark, d))
 
 
+def _names(spark: SparkSession, d: str) -> DataFrame:
+    items = table(spark, d, "items")
+    of = lambda df, field, c: df.select(F.lit(field).alias("field"), F.col("id").alias("rowId"), F.col(c).alias("value"))
+    named = of(table(spark, d, "entities"), "entities.name", "name")
+    return named.unionByName(of(items, "items.eventSubject", "eventSubject")).unionByName(of(items, "items.eventObject", "eventObject"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.find_odd(_names(spark, d)).select("field", "rowId").distinct()
+
+
+def p4_plain(spark: SparkSession, d: str) -> DataFrame:
+    """The plain form of each odd value."""
+    return lookalike.find_odd(_names(spark, d))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.variant_pairs(table(spark, d, "entities"), table(spark, d, "aliases"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.encode_column(table(spark, d, "documents"))
 
@@ -44,7 +64,7 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(tokenize.encode_column(table(spark, d, "documents"), count_only=True))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_reservoir, p2_found, p3_found, p3_groups, p7_ids, p8_containers)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_reservoir, p2_found, p3_found, p3_groups, p4_found, p4_plain, p6_found, p7_ids, p8_containers)}
 
 SQL = {
     "p1_found": r"""
