@@ -76,7 +76,7 @@ def parse(name: str) -> tuple[str, str, str]:
     s = plain(name).strip()
     if re.search(r"[一-鿿぀-ヿ]", s):
         return "han", HAN_LEGAL.sub("", re.sub(r"\s+", "", s)) or s, ""
-    if m := re.fullmatch(r"([^\W\d_])Io([A-Z]+)-([^\W\d_]{3})", s):
+    if m := re.fullmatch(r"([^\W\d_])Io([A-Z]{2})-?([^\W\d_]{3})", s.replace(".", "")):
         return "acri", letters(m[3]), m[2].lower()
     tight = letters(s.replace(".", ""))
     if s.isupper() and len(tight) == 6 and tight.isalpha() and re.fullmatch(r"\w{6}|(?:\w\.){6}", s):
@@ -252,13 +252,14 @@ def link_names(rows: DataFrame, given_links: DataFrame) -> DataFrame:
     """(key, groupId): the group of every row of (key, name) that is linked to another; given_links holds (a, b) of keys.
 
     Rows with equal parsed names are one node. Nodes are linked if their tails agree and their heads lie
-    within one edit (four letters or more) or two (six or more, if one of the two heads holds a letter
-    sequence that is rare in all heads, as typing errors do). Initials, names without a line of business and
+    within one edit (four letters or more; one node of at most two rows) or two (six or more; one node of
+    a single row, and one of the two heads holds a letter sequence that is rare in all heads): typing
+    errors seldom repeat, different names do. Initials, names without a line of business and
     acronyms then join the one group that they fit; if they fit several they stay alone.
     """
     rows = materialize(parsed(rows), "parsed")
     node = F.concat_ws("|", "kind", "head", "tail")
-    nodes = materialize(rows.select("kind", "head", "tail", node.alias("node")).distinct(), "nodes")
+    nodes = materialize(rows.groupBy("kind", "head", "tail").agg(F.count(F.lit(1)).alias("rows")).withColumn("node", node), "nodes")
     space = F.when(F.col("kind") == "pers", F.concat(F.lit("pers:"), F.substring("tail", 1, 1))).otherwise(F.col("kind"))
     heads = nodes.filter("kind in ('pers', 'prod', 'inst', 'univ', 'org', 'pair') and length(head) >= 4")
     near = radius_join(heads.select(space.alias("space"), F.col("head").alias("name")))
@@ -268,18 +269,20 @@ def link_names(rows: DataFrame, given_links: DataFrame) -> DataFrame:
     count = gram.groupBy("g").agg(F.countDistinct("head").alias("c"))
     rarest = gram.join(count, "g").groupBy("head").agg(F.min("c").alias("c"))
     near = near.join(rarest.select(F.col("head").alias("a"), F.col("c").alias("ca")), "a").join(rarest.select(F.col("head").alias("b"), F.col("c").alias("cb")), "b")
-    rare = F.least("ca", "cb") <= F.lit(RARE)
+    different = heads.select("head").distinct().count()
+    rare = F.least("ca", "cb") <= F.lit(RARE * different)
     shortest = F.least(F.length("a"), F.length("b"))
-    near = materialize(near.filter((F.col("d") == 1) | ((shortest >= 6) & rare)).select("space", "a", "b"), "near")
-    x = nodes.select(space.alias("space"), F.col("head").alias("a"), "tail", F.col("node").alias("na"))
-    y = nodes.select(space.alias("space"), F.col("head").alias("b"), "tail", F.col("node").alias("nb"))
-    typed = near.join(x, ["space", "a"]).join(y, ["space", "b", "tail"]).select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    near = materialize(near.filter((F.col("d") == 1) | ((shortest >= 6) & rare)).select("space", "a", "b", "d"), "near")
+    x = nodes.select(space.alias("space"), F.col("head").alias("a"), "tail", F.col("node").alias("na"), F.col("rows").alias("ra"))
+    y = nodes.select(space.alias("space"), F.col("head").alias("b"), "tail", F.col("node").alias("nb"), F.col("rows").alias("rb"))
+    typed = near.join(x, ["space", "a"]).join(y, ["space", "b", "tail"]).filter(F.least("ra", "rb") <= 3 - F.col("d")).select(F.col("na").alias("a"), F.col("nb").alias("b"))
     of = rows.select("key", node.alias("node"))
     known = given_links.join(of.select(F.col("key").alias("a"), F.col("node").alias("na")), "a").join(of.select(F.col("key").alias("b"), F.col("node").alias("nb")), "b")
     group = contract(typed.unionByName(known.select(F.col("na").alias("a"), F.col("nb").alias("b"))))
     placed = nodes.join(group.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     placed = materialize(placed, "placed")
     # what fits one group alone
+    near = near.select("space", "a", "b")
     both = near.unionByName(near.select("space", F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(heads.select(space.alias("space"), F.col("head").alias("a"), F.col("head").alias("b")).distinct())
     wild = placed.filter("(kind = 'pers' and length(tail) = 1) or (kind = 'org' and tail = '')").select(space.alias("space"), F.col("head").alias("a"), F.col("tail").alias("t"), F.col("component").alias("w"))
     full = placed.filter("(kind = 'pers' and length(tail) > 1) or (kind = 'org' and tail <> '')").select(space.alias("space"), F.col("head").alias("b"), "tail", F.col("component").alias("c"))
@@ -306,8 +309,8 @@ def link_names(rows: DataFrame, given_links: DataFrame) -> DataFrame:
     return out.join(least, "c").select("key", "groupId")
 
 
-#: A letter sequence found in so many different heads or fewer is rare.
-RARE = 6
+#: A letter sequence found in no more than this share of the different heads is rare.
+RARE = 3e-4
 
 
 def variant_pairs(entities: DataFrame, aliases: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import capping, components, lookalike, names, near_dup, packing, tokenize
+from loomline.llm import capping, components, garble, language, lookalike, names, near_dup, packing, tokenize
 from loomline.runtime import table
 
 
@@ -52,6 +52,17 @@ def p4_plain(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.find_odd(_names(spark, d))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    judged = language.judge_items(table(spark, d, "items"), table(spark, d, "lang_samples"))
+    return language.wrong_languages(judged).select("itemId", "field", "lang")
+
+
+def p5_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Every part of every title with its language and confidence."""
+    judged = language.judge_items(table(spark, d, "items"), table(spark, d, "lang_samples"))
+    return judged.select("itemId", "field", F.explode("parts").alias("p")).select("itemId", "field", "p.*")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return names.variant_pairs(table(spark, d, "entities"), table(spark, d, "aliases"))
 
@@ -64,7 +75,15 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(tokenize.encode_column(table(spark, d, "documents"), count_only=True))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_reservoir, p2_found, p3_found, p3_groups, p4_found, p4_plain, p6_found, p7_ids, p8_containers)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return garble.find_garbled(table(spark, d, "documents")).select("doc_id").distinct()
+
+
+def p9_restored(spark: SparkSession, d: str) -> DataFrame:
+    return garble.find_garbled(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_reservoir, p2_found, p3_found, p3_groups, p4_found, p4_plain, p5_found, p5_segments, p6_found, p7_ids, p8_containers, p9_found, p9_restored)}
 
 SQL = {
     "p1_found": r"""
