@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -18,17 +18,21 @@ CODES = {"eng": "en", "deu": "de", "ger": "de", "fra": "fr", "fre": "fr", "spa":
 SAMPLE = 20_000
 CENTROIDS = 4  # clustered centroids of a language
 SWITCH = 4.0  # log odds that a change of language within a text must win
+AT_MARK = 2.0  # the same where a mark such as a dash or bracket stands
 ALONE = 3.0  # log odds against no language at all that a part must have
 FAR = 0.05  # a part whose cosine with every centroid is below this belongs to no language
 CAP = 2.5  # the most that one token says
 
-TOKEN = re.compile(r"[぀-ヿㇰ-ㇿｦ-ﾝ]|[㐀-鿿]|[^\W\d_㐀-鿿぀-ヿ]+")
+MARKS = "|/–—()（）[]:：-"
+TOKEN = re.compile(r"[぀-ヿㇰ-ㇿｦ-ﾝ]|[㐀-鿿]|[^\W\d_㐀-鿿぀-ヿ]+|[|/–—()（）\[\]:：]|(?<= )-(?= )")
 WIDE = re.compile(r"[㐀-鿿぀-ヿㇰ-ㇿｦ-ﾝ]")
 
 
 def features(token: str, after: str) -> list[str]:
     """n-grams of a token: a word and, unless it is written like a name, its three-letter sequences; a Chinese or
     Japanese character and its pair with the next."""
+    if token in MARKS:
+        return []
     if WIDE.match(token):
         return [token, token + after] if WIDE.match(after or "") else [token]
     low = token.lower()
@@ -38,6 +42,20 @@ def features(token: str, after: str) -> list[str]:
     return ["=" + low, *(m[i : i + 3] for i in range(len(m) - 2))]
 
 
+def grams_of(ts: list[str]) -> list[str]:
+    return [f for a, b in zip(ts, [*ts[1:], ""]) for f in features(a, b)]
+
+
+def split_at_marks(ts: list[str]) -> list[list[str]]:
+    out: list[list[str]] = [[]]
+    for t in ts:
+        if t in MARKS:
+            out.append([])
+        else:
+            out[-1].append(t)
+    return [p for p in out if p]
+
+
 def tokens(text: str) -> list[str]:
     return TOKEN.findall(text)
 
@@ -45,15 +63,26 @@ def tokens(text: str) -> list[str]:
 class Model:
     """Log odds of features by language, their weights, and the centroids of each language."""
 
-    def __init__(self, texts: list[tuple[str, str]]):
-        """texts: (language, text). Labels may be wrong in part: they are replaced twice by the model's own judgement."""
-        parts = [(l, [f for a, b in zip(t := tokens(x), [*t[1:], ""]) for f in features(a, b)]) for l, x in texts]
-        labels = [LANGS.index(l) for l, _ in parts]
+    def __init__(self, samples: list[tuple[str, str]], texts: list[tuple[str, str]]):
+        """samples and texts: (language, text). The samples' languages are right. Those of the texts may be wrong in
+        part, or the text mixed: what the model fitted so far is sure of counts more than the label."""
+        pieces, labels, whole = [], [], []
+        for l, x in texts:
+            cut = split_at_marks(tokens(x))
+            longest = max(map(len, cut), default=0)
+            for c in cut:
+                pieces.append(grams_of(c))
+                labels.append(LANGS.index(l))
+                whole.append(len(c) == longest)
+        self.fit([grams_of(tokens(x)) for _, x in samples], [LANGS.index(l) for l, _ in samples])
         for _ in range(3):
-            self.fit([p for _, p in parts], labels)
-            judged = [self.log_odds(p) for _, p in parts]
-            labels = [int(np.argmax(j)) if j.max() > ALONE else l for j, l in zip(judged, labels)]
-        self.cluster([p for _, p in parts], labels)
+            # a piece beside the main one may be in another language than the title: it must speak for itself
+            odds = [self.log_odds(p) for p in pieces]
+            said = [(int(np.argmax(o)), float(np.partition(o, -2)[-1] - np.partition(o, -2)[-2])) for o in odds]
+            now = [j if margin > 2 else (l if w else -1) for (j, margin), l, w in zip(said, labels, whole)]
+            kept = [(p, l) for p, l in zip(pieces, now) if l >= 0] + [(grams_of(tokens(x)), LANGS.index(l)) for l, x in samples] * 3
+            self.fit([p for p, _ in kept], [l for _, l in kept])
+        self.cluster([p for p, _ in kept], [l for _, l in kept])
         self.memo: dict[tuple[str, str], np.ndarray] = {}
 
     def fit(self, parts: list[list[str]], labels: list[int]) -> None:
@@ -80,48 +109,55 @@ class Model:
     def log_odds(self, fs: list[str]) -> np.ndarray:
         return sum((self.odds[f] / (3 if f[0] != "=" and not WIDE.match(f) else 1) for f in fs if f in self.odds), np.zeros(len(LANGS)))
 
-    def token_odds(self, token: str, after: str) -> np.ndarray:
+    def token_row(self, token: str, after: str) -> np.ndarray:
+        """Log odds by language, dot products with all centroids, and the squared length of a token's TF-IDF vector."""
         key = (token, after if WIDE.match(token) else "")
         got = self.memo.get(key)
         if got is None:
             if len(self.memo) > 300_000:
                 self.memo.clear()
-            self.memo[key] = got = np.clip(self.log_odds(features(token, after)), -CAP, CAP)
+            fs = [f for f in features(token, after) if f in self.column]
+            w = np.array([self.idf[f] for f in fs])
+            dots = w @ self.centroids[[self.column[f] for f in fs]] if fs else np.zeros(self.centroids.shape[1])
+            self.memo[key] = got = np.r_[np.clip(self.log_odds(fs), -CAP, CAP), dots, (w * w).sum()]
         return got
 
-    def vector(self, fs: list[str]) -> dict[str, float]:
-        v = {f: (1 + math.log(n)) * self.idf[f] for f, n in Counter(fs).items() if self.idf.get(f, 0) > 0}
-        norm = math.sqrt(sum(x * x for x in v.values()))
-        return {f: x / norm for f, x in v.items()} if norm else {}
-
     def cluster(self, parts: list[list[str]], labels: list[int], rounds: int = 3, most: int = 600) -> None:
-        """Spherical k-means within each language, on its first `most` texts of the sample."""
-        self.centroids: list[list[dict[str, float]]] = []
+        """Spherical k-means within each language, on `most` texts of the sample."""
+        self.column = {f: i for i, f in enumerate(f for f in self.idf if self.idf[f] > 0)}
+        weight = np.array([self.idf[f] for f in self.column])
+        self.centroids = np.zeros((len(self.column), len(LANGS) * CENTROIDS))
         for l in range(len(LANGS)):
-            own = [v for p, x in zip(parts, labels) if x == l and (v := self.vector(p))][:most]
-            centres = own[:: max(1, len(own) // CENTROIDS)][:CENTROIDS]
+            own = [[self.column[f] for f in p if f in self.column] for p, x in zip(parts, labels) if x == l]
+            own = [p for p in own if p][-most:]
+            if not own:
+                continue
+            x = np.zeros((len(own), len(self.column)), np.float32)
+            for i, p in enumerate(own):
+                np.add.at(x[i], p, weight[p])
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            centres = x[:: max(1, len(own) // CENTROIDS)][:CENTROIDS]
             for _ in range(rounds):
-                sums: list[dict[str, float]] = [defaultdict(float) for _ in centres]
-                for v in own:
-                    k = max(range(len(centres)), key=lambda k: sum(x * centres[k].get(f, 0.0) for f, x in v.items()))
-                    for f, x in v.items():
-                        sums[k][f] += x
-                centres = [{f: x / norm for f, x in s.items()} for s in sums if (norm := math.sqrt(sum(x * x for x in s.values())))]
-            self.centroids.append(centres)
-
-    def nearest(self, fs: list[str]) -> np.ndarray:
-        """Cosine with the nearest centroid of each language."""
-        v = self.vector(fs)
-        return np.array([max((sum(x * c.get(f, 0.0) for f, x in v.items()) for c in cs), default=0.0) for cs in self.centroids])
+                of = (x @ centres.T).argmax(1)
+                centres = np.array([x[of == k].sum(0) if (of == k).any() else centres[k] for k in range(len(centres))])
+                centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+            self.centroids[:, l * CENTROIDS : l * CENTROIDS + len(centres)] = centres.T
+
+    @staticmethod
+    def nearest(rows: np.ndarray) -> np.ndarray:
+        """Cosines of summed token rows with the nearest centroid of each language."""
+        dots = rows[:, len(LANGS) : -1].reshape(len(rows), len(LANGS), CENTROIDS).max(2)
+        return dots / np.sqrt(np.maximum(rows[:, -1:], 1e-12))
 
     def segments(self, ts: list[str], odds: np.ndarray) -> list[tuple[int, int, int]]:
         """(language, first token, end) of the parts of a text: the cut of the highest log odds less SWITCH for every change."""
         score, back = odds[0].copy(), []
-        for o in odds[1:]:
+        for t, o in zip(ts[1:], odds[1:]):
+            cost = AT_MARK if t in MARKS else SWITCH
             best = int(np.argmax(score))
-            come = np.where(score >= score[best] - SWITCH, np.arange(len(LANGS)), best)
+            come = np.where(score >= score[best] - cost, np.arange(len(LANGS)), best)
             back.append(come)
-            score = np.maximum(score, score[best] - SWITCH) + o
+            score = np.maximum(score, score[best] - cost) + o
         path = [int(np.argmax(score))]
         for come in reversed(back):
             path.append(int(come[path[-1]]))
@@ -140,10 +176,11 @@ class Model:
         odds against no language, as names have, are low.
         """
         lists = [tokens(t) if t else [] for t in texts]
-        flat = [self.token_odds(a, b) for ts in lists for a, b in zip(ts, [*ts[1:], ""])]
+        flat = [self.token_row(a, b) for ts in lists for a, b in zip(ts, [*ts[1:], ""])]
         if not flat:
             return [[] for _ in texts]
-        odds = np.array(flat)
+        rows = np.array(flat)
+        odds = rows[:, : len(LANGS)]
         size = np.fromiter(map(len, lists), np.int64, len(lists))
         full = np.flatnonzero(size)
         first = np.cumsum(size) - size
@@ -154,24 +191,27 @@ class Model:
         run = np.cumsum(odds - odds[np.arange(len(odds)), main[of]][:, None], axis=0) - of[:, None] * 1e6
         before = np.vstack([np.zeros((1, len(LANGS))), run[:-1]])
         low = np.minimum.accumulate(np.where((np.arange(len(odds)) == first[full][of])[:, None], before - 1e6 * (of > 0)[:, None], before), axis=0)
-        mixed = np.maximum.reduceat((run - low).max(1), first[full]) > SWITCH
+        mixed = np.maximum.reduceat((run - low).max(1), first[full]) > AT_MARK
         out: list[list[tuple[str, float, int, int]]] = [[] for _ in texts]
-        for k, i in enumerate(full.tolist()):
-            ts, o = lists[i], odds[first[i] : first[i] + size[i]]
-            parts = self.segments(ts, o) if mixed[k] else [(int(main[k]), 0, int(size[i]))]
-            for l, a, b in parts:
-                if o[a:b, l].sum() < ALONE:
-                    continue
-                fs = [f for x, y in zip(ts[a:b], [*ts[a + 1 : b], ""]) for f in features(x, y)]
-                near = self.nearest(fs)
-                named = int(near.argmax())
-                # where cosines are next to equal, as in a short part, the log odds decide
-                if near[named] - near[l] < 0.15:
-                    named = l
-                if near[named] < FAR:
-                    continue
-                rest = np.delete(near, named).max()
-                out[i].append((LANGS[named], float(near[named] / (near[named] + rest)), a, b))
+        parts = []
+        for k, (i, m, l) in enumerate(zip(full.tolist(), mixed.tolist(), main.tolist())):
+            at, n = int(first[i]), int(size[i])
+            parts += [(i, x, at + a, at + b) for x, a, b in self.segments(lists[i], odds[at : at + n])] if m else [(i, l, at, at + n)]
+        where = np.array([p[2] for p in parts])
+        sums = np.add.reduceat(rows, where, axis=0)  # parts follow one another without a gap
+        near = self.nearest(sums)
+        said = np.array([p[1] for p in parts])
+        each = np.arange(len(parts))
+        named = near.argmax(1)
+        # where cosines are next to equal, as in a short part, the log odds decide
+        named = np.where(near[each, named] - near[each, said] < 0.15, said, named)
+        best = near[each, named]
+        near[each, named] = -1
+        sure = best / np.maximum(best + np.maximum(near.max(1), 0), 1e-12)
+        good = (sums[each, said] >= ALONE) & (best >= FAR)
+        for k in np.flatnonzero(good).tolist():
+            i, _, a, b = parts[k]
+            out[i].append((LANGS[named[k]], float(sure[k]), a - int(first[i]), b - int(first[i])))
         return out
 
 
@@ -181,13 +221,13 @@ def label_code(label: str | None) -> str | None:
     return None if low in ("", "und") else CODES.get(low, low)
 
 
-def labelled_sample(rows: DataFrame, samples: DataFrame, id_col: str, text: str, label: str, most: int = SAMPLE) -> list[tuple[str, str]]:
-    """All clean samples and about `most` labelled texts, chosen by a hash of their ids."""
+def fitted(rows: DataFrame, samples: DataFrame, id_col: str, text: str, label: str, most: int = SAMPLE) -> Model:
+    """A model of all clean samples and about `most` labelled texts, chosen by a hash of their ids."""
     clean = [(r.lang, r.sample) for r in samples.select("lang", "sample").collect() if r.lang in LANGS and r.sample]
     known = rows.filter(F.length(F.trim(text)) > 0).filter(F.col(label).isNotNull())
     slices = max(1, -(-known.count() // most))
     got = known.filter(F.pmod(F.xxhash64(id_col), F.lit(slices)) == 0).select(label, text).limit(2 * most).collect()
-    return clean * 3 + sorted((c, t) for l, t in got if (c := label_code(l)) in LANGS)
+    return Model(sorted(clean), sorted((c, t) for l, t in got if (c := label_code(l)) in LANGS))
 
 
 def segments_of(texts: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -212,7 +252,7 @@ def judge_items(items: DataFrame, samples: DataFrame) -> DataFrame:
     however many rows share them.
     """
     one = items.filter("id is not null").groupBy("id").agg(F.min(F.struct("originalTitle", "translatedTitle", "language")).alias("r")).select("id", "r.*")
-    model = Model(labelled_sample(items, samples, "id", "originalTitle", "language"))
+    model = fitted(items, samples, "id", "originalTitle", "language")
     low = F.lower(F.trim(F.split(F.trim("language"), "[-_]")[0]))
     codes = F.create_map(*[F.lit(x) for kv in CODES.items() for x in kv])
     label = F.when(~F.coalesce(low, F.lit("")).isin("", "und"), F.coalesce(F.try_element_at(codes, low), low))
