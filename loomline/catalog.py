@@ -1,4 +1,4 @@
 """Every registered query of the core, with its SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from loomline.operators import feed  # noqa: F401
+from loomline.registry import QUERIES, SQL  # noqa: F401
