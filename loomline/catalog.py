@@ -1,4 +1,4 @@
 """Every registered query of the core, with its SQL."""
 
-from loomline.operators import feed  # noqa: F401
+from loomline.operators import briefing, clusters, entities, feed, ingest, metrics  # noqa: F401
 from loomline.registry import QUERIES, SQL  # noqa: F401
