@@ -163,8 +163,9 @@ class Cost:
             return 4.0
         if "À" <= c <= "ɏ":
             return 1.2 if c.islower() else 1.8
-        if c >= "⺀" and c.isalpha():  # by how much rarer than the commonest
-            return 1.0 + 0.6 * max(0.0, self.most - math.log(1 + self.count.get(ord(c), 0)))
+        if c >= "⺀" and c.isalpha():  # by how much rarer than the commonest, and if it is found nowhere else
+            n = self.count.get(ord(c), 0)
+            return 1.0 + 0.6 * max(0.0, self.most - math.log(1 + n)) + 3.0 * (n == 0)
         return 1.5 if kind[0] in "LM" else 3.0
 
     def __call__(self, text: str) -> float:

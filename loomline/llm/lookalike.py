@@ -135,6 +135,7 @@ def find_odd(rows: DataFrame) -> DataFrame:
 
     Nulls and empty values are never odd. A value that many rows share is folded once.
     """
+    rows = rows.select("field", "rowId", "value")
     forms = plain_forms(rows).filter("differs").select("value", "plain")
     suspects = rows.filter(F.col("value").rlike(r"[^\x20-\x7e]")).distinct()
     hot = hot_keys(suspects.groupBy("value").agg(F.count(F.lit(1)).alias("n"))).join(forms, "value").select("value", "plain")
