@@ -26,7 +26,7 @@ def day_start(day: str) -> Column:
 def day_candidates(vis: DataFrame, day: str = DAY) -> DataFrame:
     """One row per cluster or single item with something new on the day; totals are over all members up to its end."""
     start = day_start(day)
-    m = vis.withColumn("eff", F.when("publishedAtKnown", F.col("publishedAt")).otherwise(F.col("createdAt"))).filter(F.col("eff") < start + F.expr("interval 24 hours"))
+    m = vis.withColumn("eff", F.when(F.col("publishedAtKnown"), F.col("publishedAt")).otherwise(F.col("createdAt"))).filter(F.col("eff") < start + F.expr("interval 24 hours"))
     m = m.withColumn("isNew", F.col("eff") >= start).withColumn("q", clamp(F.col("qualityScore")))
     entry = F.coalesce(F.concat(F.lit("cluster:"), "clusterId"), F.concat(F.lit("single:"), "id"))
     c = m.groupBy(entry.alias("entry")).agg(
