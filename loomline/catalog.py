@@ -2,3 +2,4 @@
 
 from loomline.operators import briefing, clusters, entities, feed, ingest, metrics  # noqa: F401
 from loomline.registry import QUERIES, SQL  # noqa: F401
+from loomline.streaming import views  # noqa: F401
