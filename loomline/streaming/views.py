@@ -40,6 +40,9 @@ def recorded_views(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _record(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        return
     last = state.get[0] if state.exists else None
     out = []
     for ts in sorted(t for b in batches for t in b["ts"]):
@@ -47,19 +50,20 @@ def _record(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
         if last is None or ms - last > GAP_MS:
             last = ms
             out.append(ts)
-    if last is not None:
-        state.update((last,))
-        state.setTimeoutDuration(24 * 60 * 60 * 1000)
-    if state.hasTimedOut:
-        state.remove()
+    state.update((last,))
+    state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + 24 * 60 * 60 * 1000)
     yield pd.DataFrame({"day": [key[0]] * len(out), "path": [key[1]] * len(out), "visitor": [key[2]] * len(out), "ts": out})
 
 
-def dedupe_view_stream(events: DataFrame) -> DataFrame:
-    """The same over a stream: the state of a key is the time of its last recorded view, dropped after a day."""
+def dedupe_view_stream(events: DataFrame, late: str = "1 hour") -> DataFrame:
+    """The same over a stream: the state of a key is the time of its last recorded view, dropped a day after it in event time.
+
+    Views later than `late` are dropped by the watermark.
+    """
     keyed = events.select(*view_key(), F.col("ts").cast("timestamp").alias("ts")).filter("ts is not null and path is not null and visitor is not null")
+    keyed = keyed.withWatermark("ts", late)
     schema = "day date, path string, visitor long, ts timestamp"
-    return keyed.groupBy("day", "path", "visitor").applyInPandasWithState(_record, schema, "last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return keyed.groupBy("day", "path", "visitor").applyInPandasWithState(_record, schema, "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def view_counts_stream(events: DataFrame, late: str = "1 hour", size: str = "1 hour") -> DataFrame:
