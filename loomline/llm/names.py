@@ -31,6 +31,7 @@ ROMAN = {"i": "1", "ii": "2", "iii": "3", "iv": "4", "v": "5", "vi": "6", "vii":
 HAN_LEGAL = re.compile("(?:股份有限公司|有限责任公司|有限公司|集团|公司|株式会社)+$")
 LETTERS = str.maketrans({"ø": "o", "ß": "ss", "æ": "ae", "œ": "oe", "đ": "d", "ł": "l", "ı": "i", "ð": "d", "þ": "th"})
 
+LONG = 40  # names beyond are compared one by one
 FULL = {w: g.split()[0] for line in GIVEN.split("\n") for g in line.split("|") for w in g.split()}
 FORMAL = sorted(set(FULL.values()))
 RADIUS = 2
@@ -157,8 +158,15 @@ def bag(names: list[str]) -> np.ndarray:
 
 
 def edit_distances(a: list[str], b: list[str], most: int) -> np.ndarray:
-    """edits() of many pairs at once, over a band of the table."""
+    """edits() of many pairs at once, over a band of the table; the few pairs of long names one by one."""
     n = len(a)
+    long = [k for k in range(n) if len(a[k]) > LONG or len(b[k]) > LONG]
+    if long:
+        out = np.zeros(n, np.int8)
+        rest = sorted(set(range(n)) - set(long))
+        out[rest] = edit_distances([a[k] for k in rest], [b[k] for k in rest], most) if rest else 0
+        out[long] = [edits(a[k], b[k], most) for k in long]
+        return out
     la, lb = np.fromiter(map(len, a), np.int64, n), np.fromiter(map(len, b), np.int64, n)
     width = int(max(la.max(initial=0), lb.max(initial=0)))
     code = lambda xs: np.array([x.ljust(width, "\0") for x in xs], f"<U{max(width, 1)}").view(np.uint32).reshape(n, -1)
