@@ -20,8 +20,9 @@ CENTROIDS = 4  # clustered centroids of a language
 SWITCH = 4.0  # log odds that a change of language within a text must win
 AT_MARK = 2.0  # the same where a mark such as a dash or bracket stands
 ALONE = 3.0  # log odds against no language at all that a part must have
-FAR = 0.05  # a part whose cosine with every centroid is below this belongs to no language
+FAR = 0.02  # a part whose cosine with every centroid is below this belongs to no language
 CAP = 2.5  # the most that one token says
+LEAST = 3  # words of a part beside others
 
 MARKS = "|/–—()（）[]:：-"
 TOKEN = re.compile(r"[぀-ヿㇰ-ㇿｦ-ﾝ]|[㐀-鿿]|[^\W\d_㐀-鿿぀-ヿ]+|[|/–—()（）\[\]:：]|(?<= )-(?= )")
@@ -122,14 +123,15 @@ class Model:
             self.memo[key] = got = np.r_[np.clip(self.log_odds(fs), -CAP, CAP), dots, (w * w).sum()]
         return got
 
-    def cluster(self, parts: list[list[str]], labels: list[int], rounds: int = 3, most: int = 600) -> None:
+    def cluster(self, parts: list[list[str]], labels: list[int], rounds: int = 3, most: int = 2000) -> None:
         """Spherical k-means within each language, on `most` texts of the sample."""
         self.column = {f: i for i, f in enumerate(f for f in self.idf if self.idf[f] > 0)}
         weight = np.array([self.idf[f] for f in self.column])
         self.centroids = np.zeros((len(self.column), len(LANGS) * CENTROIDS))
         for l in range(len(LANGS)):
             own = [[self.column[f] for f in p if f in self.column] for p, x in zip(parts, labels) if x == l]
-            own = [p for p in own if p][-most:]
+            own = [p for p in own if p]
+            own = own[:: max(1, -(-len(own) // most))]
             if not own:
                 continue
             x = np.zeros((len(own), len(self.column)), np.float32)
@@ -209,6 +211,10 @@ class Model:
         near[each, named] = -1
         sure = best / np.maximum(best + np.maximum(near.max(1), 0), 1e-12)
         good = (sums[each, said] >= ALONE) & (best >= FAR)
+        # beside another part, one or two words are a name or a heading word that languages share
+        words = np.array([sum(t not in MARKS for t in lists[i][a - int(first[i]) : b - int(first[i])]) for i, _, a, b in parts])
+        several = np.bincount([p[0] for p in parts], minlength=len(lists))[[p[0] for p in parts]] > 1
+        good &= ~several | (words >= LEAST)
         for k in np.flatnonzero(good).tolist():
             i, _, a, b = parts[k]
             out[i].append((LANGS[named[k]], float(sure[k]), a - int(first[i]), b - int(first[i])))
