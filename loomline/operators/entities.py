@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.operators.feed import items_once
 from loomline.registry import ITEMS, query
-from loomline.runtime import table
+from loomline.runtime import materialize, table
 
 # Punctuation cut from a name's edges, and names too general to be entities.
 EDGE = r"[\s#＃\"“”‘’`.,，。:：;；!?！？、()\[\]{}【】<>《》]+"
@@ -78,6 +79,89 @@ def entity_suggestions(spark: SparkSession, d: str) -> DataFrame:
     return p.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.when(same, 0.99).when(moved, 0.96).otherwise(F.round(F.least(F.lit(0.94), edit), 6)).alias("similarity"))
 
 
+ALIKE = 0.82
+
+
+def most_edits(length: int) -> int:
+    """Edits that leave two names alike, the longer of this length."""
+    return int((1 - ALIKE) * length + 1e-9)
+
+
+def segments(length: int) -> tuple[int, list[tuple[int, int]]]:
+    """(K, places) of a name that may meet names as long or longer: of K + 1 pieces, one survives any K edits."""
+    longest = length
+    while longest + 1 - length <= most_edits(longest + 1):
+        longest += 1
+    k = most_edits(longest)
+    cut = [length * i // (k + 1) for i in range(k + 2)]
+    return k, list(zip(cut, cut[1:]))
+
+
+def letter_bits(name: str) -> int:
+    """62 bits: of each of 31 classes of characters whether it occurs once and twice. An edit changes at most two bits."""
+    bits = 0
+    for c in name:
+        one = 1 << 2 * (ord(c) % 31)
+        bits |= one << 1 if bits & one else one
+    return bits
+
+
+def segment_keys(names: DataFrame) -> DataFrame:
+    """(compact, bits, key, index) of (compact): a name's own pieces, and the pieces of shorter or equal names that it may hold.
+
+    With at most K edits some piece i is intact after exactly i edits or fewer on its left and K - i or fewer on its
+    right, so it has moved by no more than that: two names within the bound always share a key.
+    """
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for s in batch.column(0).to_pylist():
+                n, bits, got = len(s), letter_bits(s), set()
+                k, places = segments(n)
+                out += [(s, bits, f"{n}:{i}:{s[p:q]}", True) for i, (p, q) in enumerate(places)]
+                for m in range(max(1, n - most_edits(n)), n + 1):
+                    k, places = segments(m)
+                    for i, (p, q) in enumerate(places):
+                        lo, hi = max(-i, n - m - (k - i)), min(i, n - m + (k - i))
+                        got |= {f"{m}:{i}:{s[p + x : q + x]}" for x in range(max(lo, -p), min(hi, n - q) + 1)}
+                out += [(s, bits, g, False) for g in got]
+            cols = list(zip(*out)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.bool_()))], names=["compact", "bits", "key", "index"])
+
+    return names.select("compact").mapInArrow(run, "compact string, bits long, key string, index boolean")
+
+
+@query()
+def entity_suggestions_all(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of entities alike by spelling that share any of the four blocks: compact text, sorted words, a word of two letters or more, first three characters and half the length.
+
+    Blocks of frequent words are never paired out: equal texts meet by text, names within the edit bound by an
+    intact piece (`segment_keys`, lossless), and sharing a block is then a condition on the pair. No block is left out for its size.
+    """
+    low = F.lower("name")
+    words = F.filter(F.split(low, r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    e = table(spark, d, "entities").select("id", F.array_join(words, "").alias("compact"), F.array_join(F.array_sort(words), " ").alias("sorted"), F.filter(words, lambda x: F.length(x) >= 2).alias("words"))
+    e = e.filter("compact <> ''").withColumn("k", F.when(F.length("compact") >= 5, F.concat(F.substring("compact", 1, 3), F.floor(F.length("compact") / 2).cast("string"))))
+    x, y = e.alias("x"), e.alias("y")
+    sides = [F.col("x.id").alias("a"), F.col("y.id").alias("b")]
+    same = x.join(y, (F.col("x.compact") == F.col("y.compact")) & (F.col("x.id") < F.col("y.id"))).select(*sides, F.lit(0.99).alias("similarity"))
+    moved = x.join(y, (F.col("x.sorted") == F.col("y.sorted")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.compact") != F.col("y.compact"))).select(*sides, F.lit(0.96).alias("similarity"))
+    keys = materialize(segment_keys(e.select("compact").distinct()), "segments")
+    p, q = keys.filter("index").alias("p"), keys.filter("not index").alias("q")
+    longer = F.greatest(F.length("p.compact"), F.length("q.compact"))
+    most = F.floor((1 - ALIKE) * longer + 1e-9).cast("int")
+    near = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.compact") != F.col("q.compact")) & (F.bit_count(F.col("p.bits").bitwiseXOR(F.col("q.bits"))) <= 2 * most))
+    near = near.select(F.least("p.compact", "q.compact").alias("l"), F.greatest("p.compact", "q.compact").alias("r"), longer.alias("m"), most.alias("most")).filter("m >= 5")
+    near = near.withColumn("d", F.expr("levenshtein(l, r, most)")).filter("d >= 0").withColumn("edit", 1.0 - F.col("d") / F.col("m"))
+    near = near.filter(F.col("edit") >= ALIKE).select("l", "r", "edit").distinct()
+    block = F.arrays_overlap("x.words", "y.words") | F.coalesce(F.col("x.k") == F.col("y.k"), F.lit(False))
+    pairs = near.join(x, F.col("l") == F.col("x.compact")).join(y, F.col("r") == F.col("y.compact"))
+    pairs = pairs.filter((F.col("x.id") != F.col("y.id")) & (F.col("x.sorted") != F.col("y.sorted")) & block)
+    close = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), F.round(F.least(F.lit(0.94), F.col("edit")), 6).alias("similarity"))
+    return same.unionByName(moved).unionByName(close).distinct()
+
+
 @query(f"WITH {ITEM_ENTITIES} SELECT a.k AS a, b.k AS b, count(*) AS items FROM ie a JOIN ie b ON a.id = b.id AND a.k < b.k GROUP BY 1, 2 HAVING count(*) >= 3")
 def shared_items(spark: SparkSession, d: str) -> DataFrame:
     """Items that two entities share. An item has two entities at most, so the self-join on items stays linear."""

@@ -76,6 +76,43 @@ def test_entity_suggestions(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-5 for k in got)
 
 
+def alike(x, y):
+    """The similarity of two (compact, sorted words) by brute force; None if two names are not alike or share no block."""
+    (c, s), (d, t) = x, y
+    m = max(len(c), len(d))
+    if c == d or s == t:
+        return 0.99 if c == d else 0.96
+    block = any(len(w) >= 2 and w in t for w in s) or (min(len(c), len(d)) >= 5 and (c[:3], len(c) // 2) == (d[:3], len(d) // 2))
+    e = 1 - edit(c, d) / m if block and m >= 5 and abs(len(c) - len(d)) <= 0.2 * m else 0
+    return round(min(0.94, e), 6) if e >= 0.82 else None
+
+
+def test_entity_suggestions_of_all_blocks(spark, tmp_path):
+    import random
+
+    import regex
+
+    r = random.Random(7)
+    words = ["".join(r.choice("abcdé日") for _ in range(r.randrange(1, 12))) for _ in range(25)] + ["Institute", "of"]
+    names = ["Meta AI", "AI Meta", "qq", "QQ", "Q-Q", "Zmith Robert", "Robert Smith", "Robert Smyth", "", "!!", "xbcdefgh Bank", "abcdefgh Bank"]
+    for _ in range(130):
+        base = r.sample(words, r.randrange(1, 5))
+        typed = list(" ".join(base))
+        for _ in range(r.randrange(1, 1 + max(1, len(typed) // 6) + 1)):
+            typed.insert(r.randrange(len(typed) + 1), r.choice("abcdé"))
+            del typed[r.randrange(len(typed))]
+        names += [" ".join(base), "".join(typed), " ".join(reversed(base))]
+    rows = [(f"e{i:04d}", n) for i, n in enumerate(names)]
+    spark.createDataFrame(rows, "id string, name string").write.parquet(f"{tmp_path}/entities.parquet")
+    es = [(i, [w for w in regex.split(r"[^\p{L}\p{N}]+", n.lower()) if w]) for i, n in rows]
+    es = [(i, ("".join(w), sorted(w))) for i, w in es if w]
+    want = {(a, b): s for k, (a, x) in enumerate(es) for b, y in es[k + 1 :] if (s := alike(x, y))}
+    got = [(x.a, x.b, float(x.similarity)) for x in entities.entity_suggestions_all(spark, str(tmp_path)).collect()]
+    assert len(got) == len(want) and all(abs(want.get((a, b), 0) - s) < 1e-5 for a, b, s in got)
+    single = {(x.a, x.b) for x in entities.entity_suggestions(spark, str(tmp_path)).collect()}
+    assert ("e0000", "e0001") in want and single < want.keys()
+
+
 def test_components(spark):
     pairs = [(f"n{i}", f"n{i + 1}") for i in range(30)] + [("a", "b"), ("b", "a"), ("c", "b")]
     got = {r.id: r.component for r in clusters.components(spark.createDataFrame(pairs, "a string, b string")).collect()}
