@@ -260,14 +260,14 @@ def link_names(rows: DataFrame, given_links: DataFrame) -> DataFrame:
     """(key, groupId): the group of every row of (key, name) that is linked to another; given_links holds (a, b) of keys.
 
     Rows with equal parsed names are one node. Nodes are linked if their tails agree and their heads lie
-    within one edit (four letters or more; one node of at most two rows) or two (six or more; one node of
-    a single row, and one of the two heads holds a letter sequence that is rare in all heads): typing
-    errors seldom repeat, different names do. Initials, names without a line of business and
+    within one edit (four letters or more) or two (six or more; one of the two heads holds a letter
+    sequence that is rare in all heads), however many rows hold them. Chinese and Japanese names are
+    linked by equal parsed names alone. Initials, names without a line of business and
     acronyms then join the one group that they fit; if they fit several they stay alone.
     """
     rows = materialize(parsed(rows), "parsed")
     node = F.concat_ws("|", "kind", "head", "tail")
-    nodes = materialize(rows.groupBy("kind", "head", "tail").agg(F.count(F.lit(1)).alias("rows")).withColumn("node", node), "nodes")
+    nodes = materialize(rows.select("kind", "head", "tail").distinct().withColumn("node", node), "nodes")
     space = F.when(F.col("kind") == "pers", F.concat(F.lit("pers:"), F.substring("tail", 1, 1))).otherwise(F.col("kind"))
     heads = nodes.filter("kind in ('pers', 'prod', 'inst', 'univ', 'org', 'pair') and length(head) >= 4")
     near = radius_join(heads.select(space.alias("space"), F.col("head").alias("name")))
@@ -281,9 +281,9 @@ def link_names(rows: DataFrame, given_links: DataFrame) -> DataFrame:
     rare = F.least("ca", "cb") <= F.lit(RARE * different)
     shortest = F.least(F.length("a"), F.length("b"))
     near = materialize(near.filter((F.col("d") == 1) | ((shortest >= 6) & rare)).select("space", "a", "b", "d"), "near")
-    x = nodes.select(space.alias("space"), F.col("head").alias("a"), "tail", F.col("node").alias("na"), F.col("rows").alias("ra"))
-    y = nodes.select(space.alias("space"), F.col("head").alias("b"), "tail", F.col("node").alias("nb"), F.col("rows").alias("rb"))
-    typed = near.join(x, ["space", "a"]).join(y, ["space", "b", "tail"]).filter(F.least("ra", "rb") <= 3 - F.col("d")).select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    x = nodes.select(space.alias("space"), F.col("head").alias("a"), "tail", F.col("node").alias("na"))
+    y = nodes.select(space.alias("space"), F.col("head").alias("b"), "tail", F.col("node").alias("nb"))
+    typed = near.join(x, ["space", "a"]).join(y, ["space", "b", "tail"]).select(F.col("na").alias("a"), F.col("nb").alias("b"))
     of = rows.select("key", node.alias("node"))
     known = given_links.join(of.select(F.col("key").alias("a"), F.col("node").alias("na")), "a").join(of.select(F.col("key").alias("b"), F.col("node").alias("nb")), "b")
     group = contract(typed.unionByName(known.select(F.col("na").alias("a"), F.col("nb").alias("b"))))

@@ -154,6 +154,12 @@ def test_names(spark):
     assert names.variant_pairs(ef.limit(0), af.limit(0)).count() == 0
 
 
+def test_names_link_however_often_they_repeat(spark):
+    rows = [(f"a{i}", "Trouhatil Motors" if i < 5 else "Trouhatli Motors") for i in range(10)]
+    got = {x.groupId: x.n for x in names.link_names(spark.createDataFrame(rows, "key string, name string"), spark.createDataFrame([], "a string, b string")).groupBy("groupId").agg({"key": "count"}).toDF("groupId", "n").collect()}
+    assert got == {"a0": 10}
+
+
 def test_radius_join_is_exact(spark):
     r = random.Random(5)
     words = list({"".join(r.choice("abcde") for _ in range(r.randrange(1, 9))) for _ in range(400)})
