@@ -260,9 +260,8 @@ def link_names(rows: DataFrame, given_links: DataFrame) -> DataFrame:
     """(key, groupId): the group of every row of (key, name) that is linked to another; given_links holds (a, b) of keys.
 
     Rows with equal parsed names are one node. Nodes are linked if their tails agree and their heads lie
-    within one edit (four letters or more) or two (six or more; one of the two heads holds a letter
-    sequence that is rare in all heads), however many rows hold them. Chinese and Japanese names are
-    linked by equal parsed names alone. Initials, names without a line of business and
+    within one edit (four letters or more) or two (six or more), whatever else the table holds and
+    however many rows hold them. Chinese and Japanese names are linked by equal parsed names alone. Initials, names without a line of business and
     acronyms then join the one group that they fit; if they fit several they stay alone.
     """
     rows = materialize(parsed(rows), "parsed")
@@ -271,16 +270,8 @@ def link_names(rows: DataFrame, given_links: DataFrame) -> DataFrame:
     space = F.when(F.col("kind") == "pers", F.concat(F.lit("pers:"), F.substring("tail", 1, 1))).otherwise(F.col("kind"))
     heads = nodes.filter("kind in ('pers', 'prod', 'inst', 'univ', 'org', 'pair') and length(head) >= 4")
     near = radius_join(heads.select(space.alias("space"), F.col("head").alias("name")))
-    # how rare a head's rarest letter sequence is
-    marked = F.concat(F.lit("^"), F.col("head"), F.lit("$"))
-    gram = nodes.filter("kind <> 'han'").select("head").distinct().select("head", F.explode(F.transform(F.sequence(F.lit(1), F.length("head")), lambda i: F.substring(marked, i, 3))).alias("g"))
-    count = gram.groupBy("g").agg(F.countDistinct("head").alias("c"))
-    rarest = gram.join(count, "g").groupBy("head").agg(F.min("c").alias("c"))
-    near = near.join(rarest.select(F.col("head").alias("a"), F.col("c").alias("ca")), "a").join(rarest.select(F.col("head").alias("b"), F.col("c").alias("cb")), "b")
-    different = heads.select("head").distinct().count()
-    rare = F.least("ca", "cb") <= F.lit(RARE * different)
     shortest = F.least(F.length("a"), F.length("b"))
-    near = materialize(near.filter((F.col("d") == 1) | ((shortest >= 6) & rare)).select("space", "a", "b", "d"), "near")
+    near = materialize(near.filter((F.col("d") == 1) | (shortest >= 6)).select("space", "a", "b", "d"), "near")
     x = nodes.select(space.alias("space"), F.col("head").alias("a"), "tail", F.col("node").alias("na"))
     y = nodes.select(space.alias("space"), F.col("head").alias("b"), "tail", F.col("node").alias("nb"))
     typed = near.join(x, ["space", "a"]).join(y, ["space", "b", "tail"]).select(F.col("na").alias("a"), F.col("nb").alias("b"))
@@ -317,10 +308,6 @@ def link_names(rows: DataFrame, given_links: DataFrame) -> DataFrame:
     return out.join(least, "c").select("key", "groupId")
 
 
-#: A letter sequence found in no more than this share of the different heads is rare.
-RARE = 3e-4
-
-
 def variant_pairs(entities: DataFrame, aliases: DataFrame) -> DataFrame:
     """(keyA, keyB): each pair of different rows of entities and aliases that name the same, keyA < keyB.
 

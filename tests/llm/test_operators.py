@@ -160,6 +160,13 @@ def test_names_link_however_often_they_repeat(spark):
     assert got == {"a0": 10}
 
 
+def test_names_link_two_edits_in_small_tables(spark):
+    rows = [("a", "Quaquiaketh Mining"), ("b", "Quaquiskith Mining"), ("c", "Quaquiaketh Bank"), ("d", "Quaquiskoth Mining Ltd"), ("e", "Goriam Studios"), ("f", "Gatoriam Studios")]
+    rows += [(f"n{i}", f"{w} Mining") for i, w in enumerate(("Quaquazol", "Skithemor", "Laketharn", "Uiakondra", "Viskidel", "Tuiskabor", "Braketho"))]
+    got = names.link_names(spark.createDataFrame(rows, "key string, name string"), spark.createDataFrame([], "a string, b string")).collect()
+    assert {(x.key, x.groupId) for x in got} == {("a", "a"), ("b", "a"), ("d", "a"), ("e", "e"), ("f", "e")}
+
+
 def test_radius_join_is_exact(spark):
     r = random.Random(5)
     words = list({"".join(r.choice("abcde") for _ in range(r.randrange(1, 9))) for _ in range(400)})
