@@ -113,6 +113,17 @@ def test_entity_suggestions_of_all_blocks(spark, tmp_path):
     assert ("e0000", "e0001") in want and single < want.keys()
 
 
+def test_bm25_of_different_subjects(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(clusters, "CHUNK", 2)
+    made = [("a", "bank fails", None, None, None), ("b", "bank rescued", "Bank Ltd", None, None), ("c", "bank fails", "Other", None, None), ("d", "rain", None, None, None), ("e", "bank", None, "x", None)]
+    spark.createDataFrame(made, "id string, title string, eventSubject string, eventObject string, summary string").write.parquet(f"{tmp_path}/content_clusters.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW content_clusters AS SELECT * FROM '{tmp_path}/content_clusters.parquet/*.parquet'")
+    got = clusters.bm25_pairs_all(spark, str(tmp_path)).toPandas()
+    assert {(a, b) for a, b in zip(got.a, got.b)} == {(a, b) for a in "abce" for b in "abce" if a < b}
+    assert rows(got) == rows(con.execute(catalog.SQL["bm25_pairs_all"]).fetchdf())
+
+
 def test_components(spark):
     pairs = [(f"n{i}", f"n{i + 1}") for i in range(30)] + [("a", "b"), ("b", "a"), ("c", "b")]
     got = {r.id: r.component for r in clusters.components(spark.createDataFrame(pairs, "a string, b string")).collect()}
