@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomline.registry import DOMINANT, ENTRIES, ITEMS, STATS, VISIBLE, query
-from loomline.runtime import table
+from loomline.runtime import materialize, table
 
 
 def items_once(spark: SparkSession, d: str) -> DataFrame:
@@ -234,15 +234,22 @@ def should_translate(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH RECURSIVE {ITEMS}, tree AS (SELECT id AS root, id, 0 AS depth FROM it WHERE isAggregation UNION ALL SELECT t.root, it.id, t.depth + 1 FROM tree t JOIN it ON it.parentItemId = t.id WHERE t.depth < 5)
     SELECT root, id, depth FROM tree WHERE depth > 0""")
 def child_closure(spark: SparkSession, d: str) -> DataFrame:
-    """Items below each roundup, five levels at most: one join a level, each on the links alone."""
+    """Items below each roundup at any depth: one join a level, each on the links alone, until a level is empty."""
     items = items_once(spark, d)
-    links = items.filter("parentItemId is not null").select(F.col("id").alias("child"), F.col("parentItemId").alias("id"))
-    level = items.filter("isAggregation").select(F.col("id").alias("root"), "id")
-    out = None
-    for depth in range(1, 6):
-        level = level.join(links, "id").select("root", F.col("child").alias("id"))
-        out = level.withColumn("depth", F.lit(depth)) if out is None else out.unionByName(level.withColumn("depth", F.lit(depth)))
-    return out
+    return closure(items.filter("isAggregation").select("id"), items.select(F.col("id").alias("child"), F.col("parentItemId").alias("id")))
+
+
+def closure(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(root, id, depth) of roots (id) and links (child, id): every item below a root, at its least depth; cycles end, as what was seen is not met again."""
+    links = materialize(links.filter("id is not null and child is not null").distinct(), "links")
+    level = materialize(roots.filter("id is not null").distinct().select(F.col("id").alias("root"), "id", F.lit(0).alias("depth")), "level")
+    seen, depth = level, 0
+    while not level.isEmpty():
+        depth += 1
+        below = level.select("root", "id").join(links, "id").select("root", F.col("child").alias("id")).distinct()
+        level = materialize(below.join(seen.select("root", "id"), ["root", "id"], "left_anti").withColumn("depth", F.lit(depth)), "level")
+        seen = seen.unionByName(level)
+    return seen.filter("depth > 0")
 
 
 def rss(entries_page: DataFrame) -> DataFrame:

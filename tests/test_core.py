@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 
 from loomline import catalog
-from loomline.operators import clusters, entities, ingest
+from loomline.operators import clusters, entities, feed, ingest
 from loomline.plans.ingestion import ingest as ingest_plan
 from loomline.sources import feeds
 from loomline.streaming import backlog, views
@@ -124,6 +124,16 @@ def test_bm25_of_different_subjects(spark, tmp_path, monkeypatch):
     assert rows(got) == rows(con.execute(catalog.SQL["bm25_pairs_all"]).fetchdf())
 
 
+def test_child_closure_is_deep_and_ends(spark, tmp_path):
+    T = datetime(2026, 1, 1)
+    chain = [(f"c{i}", f"c{i - 1}" if i else None, i in (0, 3)) for i in range(9)] + [("x", "y", True), ("y", "x", False)]
+    frame = spark.createDataFrame([(i, p, g, "s", T) for i, p, g in chain], "id string, parentItemId string, isAggregation boolean, sourceId string, updatedAt timestamp")
+    frame.write.parquet(f"{tmp_path}/items.parquet")
+    got = [(x.root, x.id, x.depth) for x in feed.child_closure(spark, str(tmp_path)).collect()]
+    want = {(f"c{r}", f"c{i}", i - r) for r in (0, 3) for i in range(r + 1, 9)} | {("x", "y", 1)}
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_components(spark):
     pairs = [(f"n{i}", f"n{i + 1}") for i in range(30)] + [("a", "b"), ("b", "a"), ("c", "b")]
     got = {r.id: r.component for r in clusters.components(spark.createDataFrame(pairs, "a string, b string")).collect()}
