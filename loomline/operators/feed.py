@@ -150,6 +150,39 @@ def feed_search_fuzzy(spark: SparkSession, d: str) -> DataFrame:
     return visible(spark, d).filter(compact.rlike("recalls.*units")).select("id")
 
 
+def fuzzy_match(query_text: str, corpus: Column) -> Column:
+    """Whether a corpus in lower case and NFKC matches every term, in any order: as it stands, without separators, or, with Chinese characters, as a subsequence."""
+    separators = r"[\s\p{P}\p{S}_]+"
+    compact = F.regexp_replace(corpus, separators, "")
+    whole = unicodedata.normalize("NFKC", query_text).strip().lower()
+    is_separator = lambda c: c.isspace() or unicodedata.category(c)[0] in "PS"
+    terms = "".join(" " if is_separator(c) else c for c in whole).split() or ([whole] if whole else [])
+    found = F.lit(True)
+    for term in terms:
+        tight = "".join(c for c in term if not is_separator(c))
+        if not tight:
+            continue
+        one = corpus.contains(term) | compact.contains(tight)
+        if len(tight) >= 2 and re.search(r"[㐀-鿿豈-\ufaff]", tight):
+            one = one | compact.rlike("(?s)" + ".*".join(re.escape(c) for c in tight))
+        found = found & one
+    return found
+
+
+def search_corpus(columns=SEARCHED) -> Column:
+    """All searched columns in one text, in lower case and NFKC."""
+    from loomline.functions.text import nfkc  # defining it needs a session
+
+    texts = F.concat_ws("\n", *[F.when(F.col(c) != "", F.col(c)) for c in columns])
+    return F.lower(F.trim(nfkc(texts)))
+
+
+@query()
+def feed_search_fuzzy_all(spark: SparkSession, d: str) -> DataFrame:
+    """Visible items that match each term of a query anywhere in the searched columns."""
+    return visible(spark, d).withColumn("corpus", search_corpus()).filter(fuzzy_match("units recalls", F.col("corpus"))).select("id")
+
+
 @query(f"""WITH {VISIBLE} SELECT clusterId, id, rank FROM (SELECT clusterId, id, row_number() OVER (PARTITION BY clusterId ORDER BY publishedAt DESC, createdAt DESC, id) AS rank
     FROM vis WHERE clusterId IS NOT NULL) WHERE rank <= 3""")
 def feed_previews(spark: SparkSession, d: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomline.operators.feed import half_up, items_once, visible
+from loomline.operators.feed import contains, half_up, items_once, visible
 from loomline.registry import ITEMS, VISIBLE, query
 from loomline.runtime import table
 
@@ -29,6 +29,15 @@ def filtered_review(spark: SparkSession, d: str) -> DataFrame:
     return items_once(spark, d).filter("moderationStatus = 'filtered' and createdAt >= timestamp_ntz'2026-06-22'").filter(found).select("id", "sid")
 
 
+FILTERED_COLUMNS = ("originalTitle", "translatedTitle", "summaryText", "rssExcerpt")
+
+
+@query(f"WITH {ITEMS} SELECT id, sid FROM it WHERE moderationStatus = 'filtered' AND ({' OR '.join(f"contains(lower(coalesce({c}, '')), 'chip')" for c in FILTERED_COLUMNS)}) AND createdAt >= TIMESTAMP '2026-06-22'")
+def filtered_review_all(spark: SparkSession, d: str) -> DataFrame:
+    """Filtered items found in any of the reference's columns that the table has; moderationDetail it has not."""
+    return items_once(spark, d).filter("moderationStatus = 'filtered' and createdAt >= timestamp_ntz'2026-06-22'").filter(contains("chip", FILTERED_COLUMNS)).select("id", "sid")
+
+
 @query(f"""WITH {ITEMS}, n AS (SELECT parentItemId AS p, count(*) AS children, count(*) FILTER (WHERE status = 'processed') AS done FROM it WHERE parentItemId IS NOT NULL GROUP BY 1)
     SELECT id, coalesce(children, 0) AS children, coalesce(done, 0) AS done FROM it LEFT JOIN n ON p = id WHERE isAggregation""")
 def split_overview(spark: SparkSession, d: str) -> DataFrame:

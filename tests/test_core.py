@@ -124,6 +124,25 @@ def test_bm25_of_different_subjects(spark, tmp_path, monkeypatch):
     assert rows(got) == rows(con.execute(catalog.SQL["bm25_pairs_all"]).fetchdf())
 
 
+def test_fuzzy_search_of_all_columns(spark):
+    made = [("order", "Units of Ford: recalls", None), ("columns", "recalls", "the UNITS"), ("wide", "ｕｎｉｔｓ", "re-calls"), ("one", "recalls only", None), ("none", None, None), ("cjk", "芯新片厂", None)]
+    df = spark.createDataFrame(made, "id string, a string, b string").withColumn("corpus", feed.search_corpus(("a", "b")))
+    found = lambda q: {x.id for x in df.filter(feed.fuzzy_match(q, df.corpus)).collect()}
+    assert found("units, Recalls") == {"order", "columns", "wide"}
+    assert found("芯片") == {"cjk"} and found("片芯") == set() and found("") == {x[0] for x in made}
+
+
+def test_filtered_review_of_all_columns(spark, tmp_path):
+    from loomline.operators import review
+
+    T = datetime(2026, 6, 25)
+    texts = [("a", "Chip", None, None, None), ("b", "x", "a chip", None, None), ("c", "x", None, "CHIPS", None), ("d", "x", None, None, "chip"), ("e", "x", "y", "z", None)]
+    made = [(i, *rest, "filtered", "s", T, T) for i, *rest in texts]
+    schema = "id string, originalTitle string, translatedTitle string, summaryText string, rssExcerpt string, moderationStatus string, sourceId string, createdAt timestamp_ntz, updatedAt timestamp_ntz"
+    spark.createDataFrame(made, schema).write.parquet(f"{tmp_path}/items.parquet")
+    assert {x.id for x in review.filtered_review_all(spark, str(tmp_path)).collect()} == set("abcd")
+
+
 def test_child_closure_is_deep_and_ends(spark, tmp_path):
     T = datetime(2026, 1, 1)
     chain = [(f"c{i}", f"c{i - 1}" if i else None, i in (0, 3)) for i in range(9)] + [("x", "y", True), ("y", "x", False)]
