@@ -72,13 +72,16 @@ def lookup(left: DataFrame, key: str, right: DataFrame, hot: DataFrame, how: str
     return joined.select(*[left[c] for c in left.columns], *[F.col(f"_v.{c}").alias(c) for c in value])
 
 
-def blank_to_null(c: Column) -> Column:
-    return F.when(F.trim(c) != "", c)
+def pairs_within(members: DataFrame, group: str, key: str, chunk: int = 2000) -> DataFrame:
+    """(group, a, b): each pair of different keys of a group, a < b; keys are unique within a group.
 
-
-def cores(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-
-
-def env_path(name: str, default: str) -> str:
-    return os.environ.get(name, default)
+    A group of more than `chunk` keys is cut into parts by hash, and every two of its parts meet under a key of their
+    own, so that no task makes more than about chunk squared pairs. Rows with a null group or key pair with nothing.
+    """
+    m = members.select(group, key).filter(F.col(group).isNotNull() & F.col(key).isNotNull())
+    large = m.groupBy(group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > chunk).select(group, F.ceil(F.col("_n") / chunk).cast("int").alias("_parts"))
+    m = m.join(large, group, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    m = m.withColumn("_part", F.pmod(F.xxhash64(key), F.col("_parts")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    x = m.select(group, F.col("_part").alias("_p"), F.col("_other").alias("_o"), F.col(key).alias("a"))
+    y = m.select(group, F.col("_other").alias("_p"), F.col("_part").alias("_o"), F.col(key).alias("b"))
+    return x.join(y, [group, "_p", "_o"]).filter("a < b").select(group, "a", "b")
