@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
+from typing import NamedTuple
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +15,7 @@ from pyspark.sql import functions as F
 
 from loomline.llm.components import contract
 from loomline.llm.lookalike import plain
-from loomline.runtime import materialize
+from loomline.runtime import materialize, pairs_within
 
 # English given names and their short forms.
 GIVEN = """alexander alex al sandy|andrew andy drew|anthony tony|benjamin ben benny|christopher chris kit|daniel dan danny|deborah deb debbie
@@ -24,9 +27,6 @@ sarah sally|steven steve|timothy tim|gregory greg|jonathan jon|lawrence larry|ph
 # Company forms, titles, and short forms of lines of business.
 LEGAL = set("co company corp corporation inc incorporated ltd limited plc sa ag gmbh llc lp nv bv se spa srl".split())
 TITLES = set("dr prof mr mrs ms sir phd mp jr sr md esq ii iii".split())
-SHORT = dict(x.split(":") for x in """semi:semiconductor sys:systems chem:chemicals ins:insurance assn:association assoc:association telco:telecom
-intl:international pharmaceuticals:pharma pharmaceutical:pharma tech:technologies mfg:manufacturing dev:development grp:group telecommunications:telecom
-aero:aerospace semiconductors:semiconductor bk:bank eng:energy log:logistics txt:textiles fish:fisheries""".split())
 ROMAN = {"i": "1", "ii": "2", "iii": "3", "iv": "4", "v": "5", "vi": "6", "vii": "7", "viii": "8", "ix": "9", "x": "10", "xi": "11", "xii": "12"}
 HAN_LEGAL = re.compile("(?:股份有限公司|有限责任公司|有限公司|集团|公司|株式会社)+$")
 LETTERS = str.maketrans({"ø": "o", "ß": "ss", "æ": "ae", "œ": "oe", "đ": "d", "ł": "l", "ı": "i", "ð": "d", "þ": "th"})
@@ -35,24 +35,29 @@ LONG = 40  # names beyond are compared one by one
 FULL = {w: g.split()[0] for line in GIVEN.split("\n") for g in line.split("|") for w in g.split()}
 FORMAL = sorted(set(FULL.values()))
 RADIUS = 2
+ENDS = 2000
 
 
 def edits(a: str, b: str, most: int) -> int:
-    """Insertions, deletions, substitutions and swaps of neighbours; most + 1 if more are needed."""
+    """Damerau's distance: insertions, deletions, substitutions and swaps, also of letters between which something was
+    inserted or deleted, so that it is a true metric; most + 1 if more are needed."""
+    far = most + 1
     if abs(len(a) - len(b)) > most:
-        return most + 1
-    before, last = None, list(range(len(b) + 1))
+        return far
+    rows = [{j: j for j in range(min(len(b), most) + 1)}]  # the last four rows, each a band of the table
     for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            d = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
-            if before and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                d = min(d, before[j - 2] + 1)
-            row.append(d)
-        before, last = last, row
-    return min(last[-1], most + 1)
-
-
+        row = {0: i} if i <= most else {}
+        for j in range(max(1, i - most), min(len(b), i + most) + 1):
+            d = min(rows[-1].get(j, far) + 1, row.get(j - 1, far) + 1, rows[-1].get(j - 1, far) + (x != b[j - 1]))
+            for k, l in ((2, 2), (3, 2), (2, 3)):  # a swap, and one across a letter deleted or inserted
+                if i >= k and j >= l and x == b[j - l] and a[i - k] == b[j - 1]:
+                    d = min(d, rows[-k].get(j - l, far) + k + l - 3)
+            row[j] = min(d, far)
+        rows = [*rows[-3:], row]
+    return min(rows[-1].get(len(b), far), far)
+
+
+@lru_cache(maxsize=1 << 16)
 def given(word: str) -> str | None:
     """The formal given name of a word: a short form, or a typing error in one."""
     if word in FULL:
@@ -67,21 +72,16 @@ def letters(text: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", text.lower().translate(LETTERS)) if not unicodedata.combining(c))
 
 
-def parse(name: str) -> tuple[str, str, str]:
-    """(kind, head, tail): what a name names. Equal triples are spellings of one name but for typing errors.
+class Lines(NamedTuple):
+    """What the corpus shows of names of organisations: last words that many of them share, and short forms of such."""
 
-    Kinds: pers (surname, given name or one initial), prod (line, number), inst (place, field), univ
-    (place, ""), org (brand, line of business), pair (two brands, line of business), han (name without company form,
-    ""), acri and acrp (keys of acronyms of inst and pair).
-    """
+    ends: frozenset[str] = frozenset()
+    short: dict[str, str] = {}
+
+
+def words_of(name: str) -> tuple[str, list[str], bool, bool]:
+    """(plain name, words without edge marks and company forms, whether it held a company form, whether a hyphen joined words)."""
     s = plain(name).strip()
-    if re.search(r"[一-鿿぀-ヿ]", s):
-        return "han", HAN_LEGAL.sub("", re.sub(r"\s+", "", s)) or s, ""
-    if m := re.fullmatch(r"([^\W\d_])Io([A-Z]{2})-?([^\W\d_]{3})", s.replace(".", "")):
-        return "acri", letters(m[3]), m[2].lower()
-    tight = letters(s.replace(".", ""))
-    if s.isupper() and len(tight) == 6 and tight.isalpha() and re.fullmatch(r"\w{6}|(?:\w\.){6}", s):
-        return "acrp", tight[:3], tight[4:]
     s = re.sub(r"(?<=[^\W\d_])\.(?=[^\W\d_]\.)", "", s)  # S.A. is one word
     s = re.sub(r"(?<=[a-zà-ÿ])(?=[A-ZÀ-Þ][a-zà-ÿ])", " ", s) if not re.search(r"\bM[a]?c[A-Z]", s) else s
     front, comma, back = (x.strip() for x in s.partition(","))
@@ -96,6 +96,45 @@ def parse(name: str) -> tuple[str, str, str]:
     legal = len(words) > 1 and words[-1] in LEGAL
     while len(words) > 1 and words[-1] in LEGAL:
         words = words[:-1]
+    return s, words, legal, dash
+
+
+def name_ends(name: str) -> list[tuple[str, str]]:
+    """(end, first word): the last word and the last two words of a name that holds no given name, initial, number or Chinese character."""
+    _, words, _, _ = words_of(name)
+    if len(words) < 2 or re.search(r"[㐀-鿿぀-ヿ]", name) or any(len(w) < 2 or w.isdigit() or w in ROMAN or w in TITLES or given(w) for w in words):
+        return []
+    return [(" ".join(words[-k:]), words[0]) for k in (1, 2) if len(words) > k]
+
+
+def acronym(s: str) -> str | None:
+    """The letters of a name that is one word of capitals, single small letters between them at most."""
+    tight = s.replace(".", "").replace("-", "")
+    low = sum(c.islower() for c in tight)
+    if tight.isalpha() and 4 <= len(tight) <= 12 and len(tight) - low >= 3 * max(low, 1) and not re.search(r"[^\W\d_A-Z][^\W\d_A-Z]", letters_kept(tight)):
+        return letters(tight)
+    return None
+
+
+def letters_kept(text: str) -> str:
+    """Letters without accents, in their case."""
+    return "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
+
+
+def parse(name: str, lines: Lines = Lines()) -> tuple[str, str, str]:
+    """(kind, head, tail): what a name names. Equal triples are spellings of one name but for typing errors.
+
+    Kinds: pers (surname, given name or one initial), prod (line, number), inst (place, field), univ
+    (place, ""), org (brand, line of business), pair (two brands, line of business), han (name without company form,
+    ""), acr (letters of an acronym, ""). Which words are lines of business, and their short forms, the corpus says.
+    """
+    s = plain(name).strip()
+    if re.search(r"[㐀-鿿぀-ヿ]", s):
+        return "han", HAN_LEGAL.sub("", re.sub(r"\s+", "", s)) or s, ""
+    if short := acronym(s):
+        return "acr", short, ""
+    comma = "," in s
+    s, words, legal, dash = words_of(name)
     if not words:
         return "org", letters(s) or s, ""
     if any(w in ("university", "univ", "uni") for w in words) or (words[0] == "u" and len(words) > 2 and words[1] == "of"):
@@ -118,7 +157,7 @@ def parse(name: str) -> tuple[str, str, str]:
             for x, y in ((a, b), (b, a)):
                 if x in FULL:
                     return "pers", y, FULL[x]
-            if b not in BUSINESS and b not in SHORT:
+            if b not in lines.ends and b not in lines.short:
                 for x, y in ((a, b), (b, a)):
                     if f := given(x):
                         return "pers", y, f
@@ -128,33 +167,56 @@ def parse(name: str) -> tuple[str, str, str]:
         line = [w for w in words[:-1] if w != "mk"]
         if line:
             return "prod", " ".join(line), ROMAN.get(words[-1], words[-1].lstrip("0") or "0")
-    words = [SHORT.get(w, w) if i else w for i, w in enumerate(words)]
-    tail = 2 if " ".join(words[-2:]) in BUSINESS and len(words) > 2 else 1
-    if len(words) > tail and " ".join(words[-tail:]) in BUSINESS and len(words) - tail == 2:
+    words = [lines.short.get(w, w) if i else w for i, w in enumerate(words)]
+    tail = 2 if " ".join(words[-2:]) in lines.ends and len(words) > 2 else 1
+    if len(words) > tail and " ".join(words[-tail:]) in lines.ends and len(words) - tail == 2:
         return "pair", " ".join(sorted(words[:2])), " ".join(words[2:])
-    if len(words) > 2 and dash and words[-1] not in BUSINESS:
+    if len(words) > 2 and dash and words[-1] not in lines.ends:
         return "pair", " ".join(sorted(words[:2])), " ".join(words[2:])
-    if len(words) > 1 and words[0] in BUSINESS and words[-1] not in BUSINESS:
+    if len(words) > 1 and words[0] in lines.ends and words[-1] not in lines.ends:
         words = [words[-1], *words[:-1]]
     return "org", words[0], " ".join(words[1:])
 
 
-# Lines of business in organisations' names.
-BUSINESS = set("""optics bank pharma media airways fisheries foods motors robotics shipping studios semiconductor manufacturing chemicals development
-logistics technologies textiles international association energy insurance systems mining aerospace telecom group holdings partners банк завод works hospital""".split()) | {"water works", "hospital group"}
+def is_short_of(a: str, b: str) -> bool:
+    """Whether a is written with letters of b in their order, from its first, and is shorter."""
+    at = iter(b)
+    return 2 <= len(a) < len(b) and a[0] == b[0] and all(c in at for c in a)
 
 
-def bag(names: list[str]) -> np.ndarray:
-    """64 bits: of each of 26 letters whether it occurs once and twice; other characters by hash. An edit changes at most two bits."""
-    out = np.zeros(len(names), np.uint64)
-    for k, name in enumerate(names):
-        bits = 0
-        for c in name:
-            i = ord(c) - 97
-            one = 1 << (2 * i if 0 <= i < 26 else 52 + ord(c) % 12)
-            bits |= (one << 1) if bits & one and 0 <= i < 26 else one
-        out[k] = bits
-    return out
+def lines_of_business(rows: DataFrame) -> Lines:
+    """Ends that follow three different first words or more and at least 1 in ENDS of all ends: 2 * ENDS words at most.
+
+    Of two such words one of which is written with the other's letters, both following at least a fifth of
+    the rarer one's first words, the rarer is a form of the commoner. Both rules are shares, alike at every size.
+    """
+
+    def run(batches):
+        for batch in batches:
+            got = [e for n in batch.column(0).to_pylist() if n and n.strip() for e in name_ends(n)]
+            cols = list(zip(*got)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["w", "head"])
+
+    pairs = materialize(rows.select("name").mapInArrow(run, "w string, head string").distinct(), "ends")
+    counts = pairs.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    least = max(3, -(-pairs.filter("w not like '% %'").count() // ENDS))
+    ends = counts.filter(F.col("n") >= least)
+    kept = materialize(pairs.join(ends.filter("w not like '% %'"), "w"), "kept")
+    # every head holds at most as many ends as there are, 2 * ENDS
+    both = kept.alias("x").join(kept.alias("y"), (F.col("x.head") == F.col("y.head")) & (F.substring("x.w", 1, 1) == F.substring("y.w", 1, 1)) & (F.length("x.w") < F.length("y.w")))
+    both = both.groupBy(F.col("x.w").alias("a"), F.col("y.w").alias("b")).agg(F.count(F.lit(1)).alias("m"), F.min("x.n").alias("na"), F.min("y.n").alias("nb"))
+    short: dict[str, str] = {}
+    near = both.filter("m >= 2 and 5 * m >= least(na, nb)").collect()  # pairs of ends
+    for r in sorted(near, key=lambda r: (-r.m, r.a, r.b)):
+        if is_short_of(r.a, r.b):
+            few, many = (r.a, r.b) if r.na <= r.nb else (r.b, r.a)
+            short.setdefault(few, many)
+    for w in list(short):  # chains end at their last word
+        seen = {w}
+        while short[w] in short and short[w] not in seen:
+            seen.add(short[w])
+            short[w] = short[short[w]]
+    return Lines(frozenset(r.w for r in ends.select("w").collect()) - set(short), short)
 
 
 def edit_distances(a: list[str], b: list[str], most: int) -> np.ndarray:
@@ -172,83 +234,112 @@ def edit_distances(a: list[str], b: list[str], most: int) -> np.ndarray:
     code = lambda xs: np.array([x.ljust(width, "\0") for x in xs], f"<U{max(width, 1)}").view(np.uint32).reshape(n, -1)
     x, y = code(a), code(b)
     far = np.int8(most + 1)
-    rows = [np.full((width + 1, n), far, np.int8) for _ in range(3)]
+    rows = [np.full((width + 1, n), far, np.int8) for _ in range(4)]
     rows[0][: most + 1] = np.arange(most + 1, dtype=np.int8)[:, None]
     out = np.full(n, far, np.int8)
-    out[(la == 0) & (lb <= most)] = lb[(la == 0) & (lb <= most)]
+    empty = (la == 0) | (lb == 0)
+    out[empty] = np.minimum(la + lb, most + 1)[empty]
     for i in range(1, width + 1):
-        last, row, before = rows[(i - 1) % 3], rows[i % 3], rows[(i - 2) % 3]
+        row, last = rows[i % 4], rows[(i - 1) % 4]
         row[:] = far
         if i <= most:
             row[0] = i
         for j in range(max(1, i - most), min(width, i + most) + 1):
             d = np.minimum(np.minimum(last[j], row[j - 1]) + np.int8(1), last[j - 1] + (x[:, i - 1] != y[:, j - 1]))
-            if i > 1 and j > 1:
-                swap = (x[:, i - 1] == y[:, j - 2]) & (x[:, i - 2] == y[:, j - 1])
-                d = np.where(swap, np.minimum(d, before[j - 2] + np.int8(1)), d)
+            for k, l in ((2, 2), (3, 2), (2, 3)):
+                if i >= k and j >= l:
+                    swap = (x[:, i - 1] == y[:, j - l]) & (x[:, i - k] == y[:, j - 1])
+                    d = np.where(swap, np.minimum(d, rows[(i - k) % 4][j - l] + np.int8(k + l - 3)), d)
             row[j] = np.minimum(d, far)
             ends = (la == i) & (lb == j)
             out[ends] = row[j][ends]
     return out
 
 
+def ball_keys(names: list[str], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(index, key): hashes of all strings that up to `most` deletions leave of each name of LONG letters or fewer."""
+    size = np.fromiter(map(len, names), np.int64, len(names))
+    base, inverse = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+    of, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for n in np.unique(size[(size > 0) & (size <= LONG)]).tolist():
+        at = np.flatnonzero(size == n)
+        code = np.array([names[k] for k in at], f"<U{n}").view(np.uint32).reshape(len(at), n).astype(np.uint64)
+        power = np.array([pow(base, k, 1 << 64) for k in range(n)], np.uint64)
+        upto = np.concatenate([np.zeros((len(at), 1), np.uint64), np.cumsum((code + np.uint64(1)) * power, axis=1, dtype=np.uint64)], axis=1)
+        one, two = np.uint64(inverse), np.uint64(inverse * inverse % (1 << 64))
+        found = [upto[:, n:]]
+        if most >= 1:
+            found.append(upto[:, :-1] + one * (upto[:, n:] - upto[:, 1:]))
+        if most >= 2 and n >= 2:
+            i, j = np.triu_indices(n, 1)
+            found.append(upto[:, i] + one * (upto[:, j] - upto[:, i + 1]) + two * (upto[:, n:] - upto[:, j + 1]))
+        key = np.concatenate(found, axis=1)
+        of.append(np.repeat(at, key.shape[1]))
+        keys.append(key.ravel())
+    return np.concatenate(of), np.concatenate(keys)
+
+
+def projections(name: str) -> list[int]:
+    """Hashes of the name's letters of each of five classes of letters, in their order: two edits touch four classes at most."""
+    return [crc32(f"{k} {''.join(c for c in name if ord(c) % 5 == k)}".encode()) | k << 33 for k in range(5)]
+
+
 def radius_join(names: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(space, a, b, d): pairs of different names of one space at most `radius` edits apart, a < b, each once.
-
-    `names` holds (space, name). Every name is at home with the nearest of its space's pivots, and
-    visits each pivot not more than 2 * reach further away, reach being the radius in the pivots' metric:
-    by the triangle inequality it then meets every near name at that name's home. A swap of neighbours
-    counts one edit but two in the pivots' metric (Levenshtein), so reach is 2 * radius. Pivots are the names whose
-    hash falls in a slice that leaves about the square root of all names; beside them each space has the empty
-    name as one. In a cell, names of like length pass a test on their letters, then the
-    edit distance itself. Null names are left out.
+    """(space, a, b, d): pairs of different names of one space at most `radius` (2 or less) edits apart, a < b, each once.
+
+    `names` holds (space, name). Pivots are all strings that up to `radius` deletions leave of some name. A
+    name is replicated into the ball of every pivot that it reaches by deletions: an edit costs either
+    name at most one deletion, or two edits two, so two near names meet in a ball, and by the
+    triangle inequality whatever meets is at most 2 * radius apart. A ball holds a
+    pivot's extensions by at most `radius` letters, so no cell grows with the corpus, and cells are as many as
+    names: work is linear. Within a cell the edit metric itself decides. Names beyond LONG letters
+    meet under their letters of one class of five instead, of which two edits leave one untouched.
+    Null and empty names are left out.
     """
-    names = materialize(names.filter("name <> ''").distinct(), "names")
-    n = names.count()
-    every = max(8, int(2 * n**0.5))
-    pivots = names.filter(F.pmod(F.xxhash64("space", "name"), F.lit(every)) == 0).groupBy("space").agg(F.array_sort(F.collect_list("name")).alias("p"))
-    held = names.join(F.broadcast(pivots), "space", "left").withColumn("p", F.concat(F.array(F.lit("")), F.coalesce("p", F.array().cast("array<string>"))))
-    far = F.transform("p", lambda q: F.levenshtein(F.col("name"), q))
-    held = held.withColumn("d", far).withColumn("near", F.array_min("d"))
-    cells = held.select("space", "name", F.array_position("d", F.col("near")).alias("home"), F.posexplode("d").alias("cell", "d"), "near")
-    cells = cells.filter(F.col("d") <= F.col("near") + 4 * radius).select("space", (F.col("cell") + 1).alias("cell"), "name", (F.col("cell") + 1 == F.col("home")).alias("home"))
-
-    def match(table: pa.Table) -> pa.Table:
-        space, name = table.column("space")[0].as_py(), np.array(table.column("name").to_pylist(), object)
-        length = np.fromiter(map(len, name), np.int64, len(name))
-        order = np.argsort(length, kind="stable")
-        name, length, home = name[order], length[order], table.column("home").to_numpy()[order]
-        sign = bag(name.tolist())
-        lo, hi = np.searchsorted(length, length - radius), np.searchsorted(length, length + radius, side="right")
-        mine, found = np.flatnonzero(home), []
-        at = 0
-        while at < len(mine):
-            upto = at + 1
-            while upto < len(mine) and upto - at < 4096 and (upto - at) * (hi[mine[upto]] - lo[mine[at]]) < 4_000_000:
-                upto += 1
-            block, first, last = mine[at:upto], lo[mine[at]], hi[mine[upto - 1]]
-            i, j = np.nonzero(np.bitwise_count(sign[block][:, None] ^ sign[None, first:last]) <= 2 * radius)
-            i, j = block[i], j + first
-            ok = (i != j) & ~(home[j] & (j < i)) & (np.abs(length[i] - length[j]) <= radius)
-            i, j = i[ok], j[ok]
-            for k in range(0, len(i), 200_000):
-                x, y = name[i[k : k + 200_000]].tolist(), name[j[k : k + 200_000]].tolist()
-                d = edit_distances(x, y, radius)
-                found += [(*sorted((x[m], y[m])), int(d[m])) for m in np.flatnonzero(d <= radius)]
-            at = upto
-        cols = list(zip(*found)) or [(), (), ()]
-        return pa.table({"space": pa.array([space] * len(found), pa.string()), "a": pa.array(cols[0], pa.string()), "b": pa.array(cols[1], pa.string()), "d": pa.array(cols[2], pa.int32())})
-
-    return cells.groupBy("space", "cell").applyInArrow(match, "space string, a string, b string, d int").distinct()
-
-
-def parsed(rows: DataFrame) -> DataFrame:
+    names = materialize(names.filter("name <> ''").distinct().withColumn("rid", F.monotonically_increasing_id()), "names")
+
+    def balls(batches):
+        for whole in batches:
+            for batch in (whole.slice(k, 4000) for k in range(0, whole.num_rows, 4000)):
+                space, name, rid = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_numpy()
+                salt = np.fromiter((crc32((s or "").encode()) for s in space), np.uint64, len(space)) << np.uint64(32)
+                of, key = ball_keys(name, radius)
+                far = [(k, p) for k, x in enumerate(name) if len(x) > LONG - 2 * radius for p in projections(x)]
+                of = np.r_[of, np.array([k for k, _ in far], np.int64)]
+                key = np.r_[key, np.array([p for _, p in far], np.uint64)] ^ salt[of]
+                order = np.lexsort((of, key))
+                of, key = of[order], key[order]
+                new = np.r_[True, (key[1:] != key[:-1]) | (of[1:] != of[:-1])] if len(key) else np.zeros(0, bool)
+                yield pa.RecordBatch.from_arrays([pa.array(key[new].view(np.int64)), pa.array(rid[of[new]])], names=["key", "rid"])
+
+    cell = names.select("space", "name", "rid").mapInArrow(balls, "key long, rid long")
+    # most balls hold one name: counting map-side first keeps those out of the lists
+    met = cell.groupBy("key").agg(F.collect_list("rid").alias("rids")).filter(F.size("rids") > 1)
+    a = met.select("rids", F.explode("rids").alias("a"))
+    pairs = a.select("a", F.explode("rids").alias("b")).filter("a < b").distinct()
+    one, two = (names.select(F.col("rid").alias(r), F.col("space").alias("space" + r), F.col("name").alias("n" + r)) for r in "ab")
+    pairs = pairs.join(one, "a").join(two, "b").filter("spacea = spaceb").select(F.col("spacea").alias("space"), "na", "nb")
+
+    def measure(batches):
+        for batch in batches:
+            x, y = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            d = edit_distances(x, y, radius)
+            keep = np.flatnonzero(d <= radius)
+            first = [min(x[k], y[k]) for k in keep]
+            last = [max(x[k], y[k]) for k in keep]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(keep)), pa.array(first, pa.string()), pa.array(last, pa.string()), pa.array(d[keep].astype(np.int32))], names=["space", "a", "b", "d"])
+
+    return pairs.mapInArrow(measure, "space string, a string, b string, d int")
+
+
+def parsed(rows: DataFrame, lines: Lines) -> DataFrame:
     """(key, kind, head, tail) of (key, name); rows without a key or a name that holds a letter or digit are left out."""
 
     def run(batches):
         for batch in batches:
             keys, names = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            got = [(k, *parse(n)) for k, n in zip(keys, names) if k is not None and n and n.strip()]
+            got = [(k, *parse(n, lines)) for k, n in zip(keys, names) if k is not None and n and n.strip()]
             got = [g for g in got if g[2]]
             cols = list(zip(*got)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=["key", "kind", "head", "tail"])
@@ -264,7 +355,7 @@ def link_names(rows: DataFrame, given_links: DataFrame) -> DataFrame:
     however many rows hold them. Chinese and Japanese names are linked by equal parsed names alone. Initials, names without a line of business and
     acronyms then join the one group that they fit; if they fit several they stay alone.
     """
-    rows = materialize(parsed(rows), "parsed")
+    rows = materialize(parsed(rows, lines_of_business(rows)), "parsed")
     node = F.concat_ws("|", "kind", "head", "tail")
     nodes = materialize(rows.select("kind", "head", "tail").distinct().withColumn("node", node), "nodes")
     space = F.when(F.col("kind") == "pers", F.concat(F.lit("pers:"), F.substring("tail", 1, 1))).otherwise(F.col("kind"))
@@ -287,18 +378,19 @@ def link_names(rows: DataFrame, given_links: DataFrame) -> DataFrame:
     full = placed.filter("(kind = 'pers' and length(tail) > 1) or (kind = 'org' and tail <> '')").select(space.alias("space"), F.col("head").alias("b"), "tail", F.col("component").alias("c"))
     fits = wild.join(both, ["space", "a"]).join(full, ["space", "b"]).filter((F.col("t") == "") | F.col("tail").startswith(F.col("t")))
     fits = fits.withColumn("exact", F.col("a") == F.col("b")).select("w", "c", "exact")
-    initials = F.array_join(F.transform(F.split("tail", " "), lambda w: F.substring(w, 1, 1)), "")
-    second = F.split("head", " ")
-    long = {
-        "acri": placed.filter("kind = 'inst'").select(F.concat_ws("|", F.substring("head", 1, 3), initials).alias("k"), F.col("component").alias("c")),
-        # a pair's brands may stand in either order
-        "acrp": placed.filter("kind = 'pair'").select(F.explode(F.array(*[
-            F.concat_ws("|", F.concat(F.substring(second[i], 1, 1), F.substring(second[1 - i], 1, 1), F.substring("tail", 1, 1)), F.substring(second[1 - i], 2, 2))
-            for i in (0, 1)])).alias("k"), F.col("component").alias("c")),
-    }
-    for kind, table in long.items():
-        short = placed.filter(F.col("kind") == kind).select(F.concat_ws("|", "head", "tail").alias("k"), F.col("component").alias("w"))
-        fits = fits.unionByName(short.join(table, "k").select("w", "c", F.lit(True).alias("exact")))
+    # an acronym begins with the initials of a long name and ends in two of the first three letters of one of its words
+    of_words = lambda x: F.array_join(F.transform(F.split(x, " "), lambda w: F.substring(w, 1, 1)), "")
+    h = F.split("head", " ")
+    orders = F.when(F.col("kind") == "inst", F.array(F.concat("head", F.lit(" institute of")))).otherwise(F.array("head", F.concat_ws(" ", F.reverse(h))))
+    tails = F.array(F.col("tail"), F.split("tail", " ")[0])
+    long = placed.filter("kind in ('inst', 'pair') and tail <> ''").select(F.col("component").alias("c"), h.alias("h"), F.explode(orders).alias("o"), tails.alias("tails"))
+    long = long.select("c", "h", F.explode("tails").alias("t"), "o").select("c", of_words(F.concat_ws(" ", "o", "t")).alias("i"), F.explode("h").alias("w"))
+    long = long.select("c", "i", F.explode(F.array(F.substring("w", 1, 2), F.substring("w", 2, 2))).alias("e")).filter("length(i) >= 3").distinct()
+    short = placed.filter("kind = 'acr'").select(F.col("component").alias("w"), "head", F.explode(F.sequence(F.lit(3), F.length("head") - 2)).alias("k"))
+    short = short.filter("k >= 3").select("w", "k", F.expr("substring(head, 1, k)").alias("i"), F.expr("substring(head, -2)").alias("e"))
+    hits = short.join(long, ["i", "e"]).groupBy("w", "k").agg(F.count_distinct("c").alias("n"), F.min("c").alias("c"))
+    hits = hits.groupBy("w").agg(F.max(F.struct("k", "n", "c")).alias("m")).filter("m.n = 1").select("w", F.col("m.c").alias("c"))
+    fits = fits.unionByName(hits.withColumn("exact", F.lit(True)))
     best = fits.filter("w <> c").groupBy("w").agg(F.count_distinct(F.when(F.col("exact"), F.col("c"))).alias("m"), F.min(F.when(F.col("exact"), F.col("c"))).alias("e"), F.count_distinct("c").alias("k"), F.min("c").alias("c"))
     one = best.select("w", F.when(F.col("m") == 1, F.col("e")).when((F.col("m") == 0) & (F.col("k") == 1), F.col("c")).alias("c")).filter("c is not null")
     last = contract(one.select(F.col("w").alias("a"), F.col("c").alias("b"))).select(F.col("id").alias("component"), F.col("component").alias("whole"))
@@ -308,8 +400,8 @@ def link_names(rows: DataFrame, given_links: DataFrame) -> DataFrame:
     return out.join(least, "c").select("key", "groupId")
 
 
-def variant_pairs(entities: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(keyA, keyB): each pair of different rows of entities and aliases that name the same, keyA < keyB.
+def variant_groups(entities: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(key, groupId): each row of entities and aliases that names the same as another, with the least key of its group.
 
     A row's text is its name, or else its normal form; rows without either take part through entityId
     alone if a row of that id has a name. Repeated ids count once.
@@ -318,5 +410,9 @@ def variant_pairs(entities: DataFrame, aliases: DataFrame) -> DataFrame:
     a = aliases.select(F.col("id").alias("key"), F.coalesce("aliasName", "aliasNormalized").alias("name"))
     rows = e.unionByName(a).groupBy("key").agg(F.min("name").alias("name"))
     links = aliases.select(F.col("id").alias("a"), F.col("entityId").alias("b")).filter("b is not null").distinct()
-    groups = materialize(link_names(rows, links), "groups")
-    return groups.select(F.col("key").alias("keyA"), "groupId").join(groups.select(F.col("key").alias("keyB"), "groupId"), "groupId").filter("keyA < keyB").select("keyA", "keyB")
+    return link_names(rows, links)
+
+
+def variant_pairs(entities: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(keyA, keyB): each pair of different rows of variant_groups, keyA < keyB. A large group's pairs are made in many tasks."""
+    return pairs_within(materialize(variant_groups(entities, aliases), "groups"), "groupId", "key").select(F.col("a").alias("keyA"), F.col("b").alias("keyB"))

@@ -67,6 +67,11 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return names.variant_pairs(table(spark, d, "entities"), table(spark, d, "aliases"))
 
 
+def p6_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The group of each row that has another spelling: membership in place of all pairs."""
+    return names.variant_groups(table(spark, d, "entities"), table(spark, d, "aliases"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenize.encode_column(table(spark, d, "documents"))
 
@@ -83,7 +88,7 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
     return garble.find_garbled(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_reservoir, p2_found, p3_found, p3_groups, p4_found, p4_plain, p5_found, p5_segments, p6_found, p7_ids, p8_containers, p9_found, p9_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_reservoir, p2_found, p3_found, p3_groups, p4_found, p4_plain, p5_found, p5_segments, p6_found, p6_groups, p7_ids, p8_containers, p9_found, p9_restored)}
 
 SQL = {
     "p1_found": r"""

@@ -154,12 +154,6 @@ def test_names(spark):
     assert names.variant_pairs(ef.limit(0), af.limit(0)).count() == 0
 
 
-def test_names_link_however_often_they_repeat(spark):
-    rows = [(f"a{i}", "Trouhatil Motors" if i < 5 else "Trouhatli Motors") for i in range(10)]
-    got = {x.groupId: x.n for x in names.link_names(spark.createDataFrame(rows, "key string, name string"), spark.createDataFrame([], "a string, b string")).groupBy("groupId").agg({"key": "count"}).toDF("groupId", "n").collect()}
-    assert got == {"a0": 10}
-
-
 def test_names_link_two_edits_in_small_tables(spark):
     rows = [("a", "Quaquiaketh Mining"), ("b", "Quaquiskith Mining"), ("c", "Quaquiaketh Bank"), ("d", "Quaquiskoth Mining Ltd"), ("e", "Goriam Studios"), ("f", "Gatoriam Studios")]
     rows += [(f"n{i}", f"{w} Mining") for i, w in enumerate(("Quaquazol", "Skithemor", "Laketharn", "Uiakondra", "Viskidel", "Tuiskabor", "Braketho"))]
@@ -218,3 +212,65 @@ def test_garbled(spark):
             assert got[k].text == want and got[k].restored
     assert not got[201].restored
     assert garble.find_garbled(frame.limit(0)).count() == 0
+
+
+def test_damerau_is_a_true_metric_and_vectorised_alike():
+    r = random.Random(8)
+    words = ["".join(r.choice("abc") for _ in range(r.randrange(0, 6))) for _ in range(60)]
+    assert names.edits("ca", "abc", 5) == 2
+    d = {(x, y): names.edits(x, y, 9) for x in words for y in words}
+    assert all(d[x, y] == d[y, x] and (d[x, y] == 0) == (x == y) for x in words for y in words)
+    assert all(d[x, z] <= d[x, y] + d[y, z] for x in words[:25] for y in words[:25] for z in words[:25])
+    pairs = [(x, y) for x in words for y in words]
+    assert names.edit_distances([x for x, _ in pairs], [y for _, y in pairs], 2).tolist() == [min(d[p], 3) for p in pairs]
+
+
+def test_radius_join_of_long_names(spark):
+    r = random.Random(6)
+    base = ["".join(r.choice("abcdefghijklmnop") for _ in range(n)) for n in (38, 40, 41, 42, 43, 60, 3000)]
+    words = {*base}
+    for w in base:
+        for _ in range(6):
+            x = list(w)
+            for _ in range(r.randrange(1, 3)):
+                k = r.randrange(len(x) - 1)
+                x[k : k + 2] = r.choice([x[k : k + 2][::-1], x[k : k + 1], [*x[k : k + 2], "z"], ["y", x[k + 1]]])
+            words.add("".join(x))
+    words = sorted(words)
+    got = {(x.a, x.b) for x in names.radius_join(spark.createDataFrame([("s", w) for w in words], "space string, name string")).collect()}
+    close = lambda x, y: abs(len(x) - len(y)) <= 2 and len(x) < 100 and names.edits(x, y, 2) <= 2
+    assert {p for p in got if len(p[0]) < 100} == {(x, y) for i, x in enumerate(words) for y in words[i + 1 :] if close(x, y)}
+    assert sum(len(p[0]) > 100 for p in got) >= 6
+
+
+def test_copies_of_two_spellings_are_linked(spark):
+    brands = ("Trouhatil", "Skimmorad", "Fleiquand", "Wodrezhop", "Jiapuklom")
+    times = dict(zip(brands, (1, 2, 3, 7, 50)))
+    rows = [(f"{b}{side}{i}", w + " Motors") for b, n in times.items() for side, w in enumerate((b, b[:-2] + b[-1] + b[-2])) for i in range(n)]
+    got = names.link_names(spark.createDataFrame(rows, "key string, name string"), spark.createDataFrame([], "a string, b string")).collect()
+    assert len(got) == len(rows) and {x.groupId: sum(y.groupId == x.groupId for y in got) for x in got} == {f"{b}00": 2 * n for b, n in times.items()}
+
+
+def test_lines_of_business_come_from_the_corpus(spark):
+    brands = ["Quaquazol", "Skithemor", "Laketharn", "Uiakondra", "Viskidel", "Tuiskabor"]
+    rows = [(f"{b}{i}", f"{b} {t}") for b in brands for i, t in enumerate(("Zemmuring", "Zmrg", "Fish Ponds"))] + [("p1", "Laketharn Viskidel Zmrg"), ("p2", "Viskidel-Laketharn Zemmuring")]
+    lines = names.lines_of_business(spark.createDataFrame(rows, "key string, name string"))
+    assert lines.ends == {"zemmuring", "ponds", "fish ponds"} and lines.short == {"zmrg": "zemmuring"}
+    assert names.parse("Laketharn Viskidel Zmrg", lines) == names.parse("Viskidel-Laketharn Zemmuring", lines) == ("pair", "laketharn viskidel", "zemmuring")
+
+
+def test_recall_of_names_without_known_links(spark):
+    """Aliases of known entities are grouped with them when entityId is withheld."""
+    e, a = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("entities", "aliases"))
+    rows = e.selectExpr("id as key", "name").unionByName(a.selectExpr("id as key", "aliasName as name"))
+    of = {x.key: x.groupId for x in names.link_names(rows, spark.createDataFrame([], "a string, b string")).collect()}
+    known = [(x.id, x.entityId) for x in a.filter("entityId is not null").collect()]
+    assert sum(of.get(x, x) == of.get(y, y) for x, y in known) >= 0.9 * len(known)
+
+
+def test_pairs_of_a_large_group(spark):
+    from loomline.runtime import pairs_within
+
+    rows = [("big", i) for i in range(90)] + [("small", i) for i in range(3)] + [("one", 1), (None, 2), ("n", None)]
+    got = pairs_within(spark.createDataFrame(rows, "g string, k int"), "g", "k", chunk=10)
+    assert got.count() == got.distinct().count() == 90 * 89 // 2 + 3
