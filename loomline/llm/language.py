@@ -19,10 +19,10 @@ SAMPLE = 20_000
 CENTROIDS = 4  # clustered centroids of a language
 SWITCH = 4.0  # log odds that a change of language within a text must win
 AT_MARK = 2.0  # the same where a mark such as a dash or bracket stands
-ALONE = 3.0  # log odds against no language at all that a part must have
-FAR = 0.02  # a part whose cosine with every centroid is below this belongs to no language
+FAR = 0.04  # a part whose cosine with every centroid is below this belongs to no language
+STRANGE = 2.0  # weight of an n-gram that the sample doesn't hold: it lengthens a text's vector and nears it to nothing
 CAP = 2.5  # the most that one token says
-LEAST = 3  # words of a part beside others
+FEW = 3  # a part of fewer words beside others must be of words that the clean samples hold
 
 MARKS = "|/–—()（）[]:：-"
 TOKEN = re.compile(r"[぀-ヿㇰ-ㇿｦ-ﾝ]|[㐀-鿿]|[^\W\d_㐀-鿿぀-ヿ]+|[|/–—()（）\[\]:：]|(?<= )-(?= )")
@@ -67,17 +67,20 @@ class Model:
     def __init__(self, samples: list[tuple[str, str]], texts: list[tuple[str, str]]):
         """samples and texts: (language, text). The samples' languages are right. Those of the texts may be wrong in
         part, or the text mixed: what the model fitted so far is sure of counts more than the label."""
+        self.clean: dict[str, set[str]] = defaultdict(set)  # the languages whose clean samples hold a word
+        for l, x in samples:
+            for t in tokens(x):
+                self.clean[t.lower()].add(l)
         pieces, labels, whole = [], [], []
         for l, x in texts:
             cut = split_at_marks(tokens(x))
-            longest = max(map(len, cut), default=0)
             for c in cut:
                 pieces.append(grams_of(c))
                 labels.append(LANGS.index(l))
-                whole.append(len(c) == longest)
-        self.fit([grams_of(tokens(x)) for _, x in samples], [LANGS.index(l) for l, _ in samples])
+                whole.append(len(cut) == 1)
+        self.fit([grams_of(tokens(x)) for _, x in samples] * 3, [LANGS.index(l) for l, _ in samples] * 3)
         for _ in range(3):
-            # a piece beside the main one may be in another language than the title: it must speak for itself
+            # one of several pieces may be in another language than its title: it must speak for itself
             odds = [self.log_odds(p) for p in pieces]
             said = [(int(np.argmax(o)), float(np.partition(o, -2)[-1] - np.partition(o, -2)[-2])) for o in odds]
             now = [j if margin > 2 else (l if w else -1) for (j, margin), l, w in zip(said, labels, whole)]
@@ -117,10 +120,13 @@ class Model:
         if got is None:
             if len(self.memo) > 300_000:
                 self.memo.clear()
-            fs = [f for f in features(token, after) if f in self.column]
+            all_of = features(token, after)
+            fs = [f for f in all_of if f in self.column]
             w = np.array([self.idf[f] for f in fs])
             dots = w @ self.centroids[[self.column[f] for f in fs]] if fs else np.zeros(self.centroids.shape[1])
-            self.memo[key] = got = np.r_[np.clip(self.log_odds(fs), -CAP, CAP), dots, (w * w).sum()]
+            # words written like names may be unknown: they belong to no language
+            strange = 0 if token[0].isupper() else sum(f not in self.idf for f in all_of) / max(1, len(all_of))
+            self.memo[key] = got = np.r_[np.clip(self.log_odds(fs), -CAP, CAP), dots, (w * w).sum() + strange * STRANGE**2]
         return got
 
     def cluster(self, parts: list[list[str]], labels: list[int], rounds: int = 3, most: int = 2000) -> None:
@@ -171,11 +177,16 @@ class Model:
                 a = i
         return out
 
+    def known(self, words: list[str], lang: str) -> bool:
+        """Whether clean samples of the language hold every word, and those of no other language one of them."""
+        held = [self.clean.get(w, ()) for w in words]
+        return bool(held) and all(lang in h for h in held) and any(len(h) == 1 for h in held)
+
     def judge(self, texts: list[str | None]) -> list[list[tuple[str, float, int, int]]]:
         """Of each text its parts (language, confidence, first token, end); a text that is one part isn't cut.
 
-        A part is named by the nearest centroid. It is rejected if that is too far, or if its log
-        odds against no language, as names have, are low.
+        Log odds propose where a text is cut. What a part is, and whether it is of any language, its vector's nearest
+        centroid alone decides: a part too far from all of them, as names and gibberish are, is rejected.
         """
         lists = [tokens(t) if t else [] for t in texts]
         flat = [self.token_row(a, b) for ts in lists for a, b in zip(ts, [*ts[1:], ""])]
@@ -202,22 +213,22 @@ class Model:
         where = np.array([p[2] for p in parts])
         sums = np.add.reduceat(rows, where, axis=0)  # parts follow one another without a gap
         near = self.nearest(sums)
-        said = np.array([p[1] for p in parts])
         each = np.arange(len(parts))
         named = near.argmax(1)
-        # where cosines are next to equal, as in a short part, the log odds decide
-        named = np.where(near[each, named] - near[each, said] < 0.15, said, named)
-        best = near[each, named]
+        best = near[each, named].copy()
         near[each, named] = -1
         sure = best / np.maximum(best + np.maximum(near.max(1), 0), 1e-12)
-        good = (sums[each, said] >= ALONE) & (best >= FAR)
-        # beside another part, one or two words are a name or a heading word that languages share
-        words = np.array([sum(t not in MARKS for t in lists[i][a - int(first[i]) : b - int(first[i])]) for i, _, a, b in parts])
-        several = np.bincount([p[0] for p in parts], minlength=len(lists))[[p[0] for p in parts]] > 1
-        good &= ~several | (words >= LEAST)
-        for k in np.flatnonzero(good).tolist():
+        several = np.bincount([p[0] for p in parts], minlength=len(lists))
+        for k in np.flatnonzero(best >= FAR).tolist():
             i, _, a, b = parts[k]
-            out[i].append((LANGS[named[k]], float(sure[k]), a - int(first[i]), b - int(first[i])))
+            if several[i] > 1 and b - a < 2 * FEW:
+                words = [t.lower() for t in lists[i][a - int(first[i]) : b - int(first[i])] if t not in MARKS]
+                if len(words) < FEW and not self.known(words, LANGS[named[k]]):
+                    continue
+            part = (LANGS[named[k]], float(sure[k]), a - int(first[i]), b - int(first[i]))
+            if out[i] and out[i][-1][0] == part[0]:  # a cut between parts of one language was none
+                part = (part[0], max(part[1], out[i][-1][1]), out[i].pop()[2], part[3])
+            out[i].append(part)
         return out
 
 
@@ -236,21 +247,6 @@ def fitted(rows: DataFrame, samples: DataFrame, id_col: str, text: str, label: s
     return Model(sorted(clean), sorted((c, t) for l, t in got if (c := label_code(l)) in LANGS))
 
 
-def segments_of(texts: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """(text, parts): of each text its parts as structs of lang, confidence, first token and end; empty for null and empty texts."""
-    shipped = texts.sparkSession.sparkContext.broadcast(model)
-    kind = pa.list_(pa.struct([("lang", pa.string()), ("confidence", pa.float64()), ("first", pa.int32()), ("end", pa.int32())]))
-
-    def run(batches):
-        model = shipped.value
-        for batch in batches:
-            got = model.judge(batch.column(0).to_pylist())
-            parts = [[{"lang": l, "confidence": c, "first": a, "end": b} for l, c, a, b in ps] for ps in got]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(parts, kind)], names=["text", "parts"])
-
-    return texts.select(F.col(text).alias("text")).mapInArrow(run, "text string, parts array<struct<lang:string,confidence:double,first:int,end:int>>")
-
-
 def judge_items(items: DataFrame, samples: DataFrame) -> DataFrame:
     """(itemId, field, label, parts) of every non-empty originalTitle and translatedTitle, each item id once.
 

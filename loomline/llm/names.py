@@ -33,7 +33,7 @@ LETTERS = str.maketrans({"ø": "o", "ß": "ss", "æ": "ae", "œ": "oe", "đ": "d
 
 LONG = 40  # names beyond are compared one by one
 FULL = {w: g.split()[0] for line in GIVEN.split("\n") for g in line.split("|") for w in g.split()}
-FORMAL = sorted(set(FULL.values()))
+FORMAL = {f: frozenset(f) for f in sorted(set(FULL.values()))}
 RADIUS = 2
 ENDS = 2000
 
@@ -64,7 +64,9 @@ def given(word: str) -> str | None:
         return FULL[word]
     if len(word) < 4:
         return None
-    close = [(d, f) for f in FORMAL if abs(len(f) - len(word)) <= 2 and (d := edits(word, f, 2)) <= (1 if len(f) < 6 else 2)]
+    own = frozenset(word)
+    near = [f for f, held in FORMAL.items() if abs(len(f) - len(word)) <= 2 and len(own ^ held) <= 4]  # an edit changes two letters of a set at most
+    close = [(d, f) for f in near if (d := edits(word, f, 2)) <= (1 if len(f) < 6 else 2)]
     return min(close)[1] if close else None
 
 

@@ -274,3 +274,24 @@ def test_pairs_of_a_large_group(spark):
     rows = [("big", i) for i in range(90)] + [("small", i) for i in range(3)] + [("one", 1), (None, 2), ("n", None)]
     got = pairs_within(spark.createDataFrame(rows, "g string, k int"), "g", "k", chunk=10)
     assert got.count() == got.distinct().count() == 90 * 89 // 2 + 3
+
+
+def _model():
+    texts = [(l, s) for l, s in SAMPLES.items() for _ in range(4)]
+    return language.Model(texts, texts)
+
+
+def test_centroids_decide_languages():
+    model = _model()
+    right = [model.judge([s])[0] for s in SAMPLES.values()]
+    assert [[p[0] for p in ps] for ps in right] == [[l] for l in SAMPLES]
+    model.centroids = np.roll(model.centroids, language.CENTROIDS, axis=1)  # each language gets its neighbour's
+    model.memo.clear()
+    assert not any([p[0] for p in ps] == [l] for l, ps in zip(SAMPLES, (model.judge([s])[0] for s in SAMPLES.values())))
+
+
+def test_distance_rejects_gibberish_and_short_parts_need_clean_words():
+    model = _model()
+    assert model.judge(["xqzt vbnmw qqpf ztrrx wkkj qwxz", "Skibod Trouhat Zemmuring", "🙂 !!"]) == [[], [], []]
+    assert [p[0] for p in model.judge([SAMPLES["zh"] + " | council repair"])[0]] == ["zh", "en"]
+    assert [p[0] for p in model.judge([SAMPLES["zh"] + " | Zemmu Skibod"])[0]] == ["zh"]
