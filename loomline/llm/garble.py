@@ -7,6 +7,7 @@ import html
 import math
 import re
 import unicodedata
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,10 +17,8 @@ from pyspark.sql import functions as F
 # Encodings that UTF-8 is mistaken for.
 SINGLE = ("cp1252", "latin-1", "cp1251", "mac_roman", "cp437", "cp1250")
 DOUBLE = ("gb18030", "cp932")
-# Signs of ordinary typesetting, and letters and signs that ordinary text of no language uses often.
+# Signs of ordinary typesetting, which stand between Latin letters.
 COMMON = set("–—‘’“”„«»‹›…€£¥©®™•·¿¡°ºª§№№、。，！？：；（）「」『』《》【】・ー％　“”‘’″′→✅")
-ODD = set("ЂЃѓЉЊЌЋЏђљњќћџЎўЈјҐґ¤¦¨¬¯±²³´µ¶¸¹¼½¾÷†‡‰ˆ˜ƒŒœŠŽžŸš√∫≠∞≤≥∂∑∏◊Ωπ")
-STATES = 40  # texts that one search opens at most: each has at most as many successors as there are operations
 
 
 def byte_of(encoding: str) -> dict[str, int]:
@@ -46,47 +45,53 @@ def utf8_pattern(encoding: str) -> re.Pattern:
 
 
 PATTERNS = {e: utf8_pattern(e) for e in SINGLE}
+#: Two bytes from 128 on shown by a single-byte encoding: without such a pair none of their operations changes a text.
+PAIR = re.compile("[" + "".join(re.escape(c) for c in sorted({c for t in BYTES.values() for c in t})) + "]{2}")
 MANY = re.compile(r"[^\x00-\x7f]+")
 HIGH = re.compile("[\u0080-￿𐀀-\U0010ffff]")
 
 
-def decode_single(text: str, encoding: str) -> str:
-    """Read as UTF-8 what `encoding` was mistaken for, wherever that gives whole characters."""
+@lru_cache(maxsize=1 << 17)
+def single_run(run: str, encoding: str) -> str:
     table = BYTES[encoding]
-
-    def sub(m: re.Match) -> str:
-        try:
-            return bytes(table[c] for c in m[0]).decode("utf-8")
-        except UnicodeDecodeError:
-            return m[0]
-
-    return PATTERNS[encoding].sub(sub, text)
+    try:
+        return bytes(table[c] for c in run).decode("utf-8")
+    except UnicodeDecodeError:
+        return run
 
 
-def decode_double(text: str, encoding: str) -> str:
-    """The same for encodings of two bytes a character: runs whose bytes are UTF-8 but for what was lost.
+def decode_single(text: str, encoding: str) -> str:
+    """Read as UTF-8 what `encoding` was mistaken for, wherever that gives whole characters."""
+    return PATTERNS[encoding].sub(lambda m: single_run(m[0], encoding), text)
 
-    Of a run of one or two characters this holds by chance too often: it must give letters or signs of
-    Latin text and stand in such.
-    """
 
-    def sub(m: re.Match) -> str:
-        run = m[0]
+@lru_cache(maxsize=1 << 17)
+def double_run(run: str, encoding: str) -> str:
+    try:
+        raw = bytearray(run.encode(encoding))
+    except UnicodeEncodeError:
         raw = bytearray()
         for c in run:
             try:
                 raw += c.encode(encoding)
             except UnicodeEncodeError:
                 raw += bytes([ord(c)]) if 0x80 <= ord(c) < 0xA0 else b"\xff"
-        out = bytes(raw).decode("utf-8", "replace")
-        lost = out.count("\ufffd")
-        if out == run or lost == len(out) or 5 * lost > len(run) + 3:
-            return run
-        if len(run) <= 2 and not all(c in COMMON or "À" <= c <= "ɏ" or c == "\ufffd" for c in out):
-            return run
-        return out
+    out = bytes(raw).decode("utf-8", "replace")
+    lost = out.count("\ufffd")
+    if out == run or lost == len(out) or 5 * lost > len(run) + 3:
+        return run
+    if len(run) <= 2 and not all(c in COMMON or "À" <= c <= "ɏ" or c == "\ufffd" for c in out):
+        return run
+    return out
+
+
+def decode_double(text: str, encoding: str) -> str:
+    """The same for encodings of two bytes a character: runs whose bytes are UTF-8 but for what was lost.
 
-    return MANY.sub(sub, text)
+    Of a run of one or two characters this holds by chance too often: it must give letters or signs of
+    Latin text and stand in such.
+    """
+    return MANY.sub(lambda m: double_run(m[0], encoding), text)
 
 
 WIDE = re.compile("[\u2e80-\uffdc]")
@@ -94,38 +99,46 @@ WIDE = re.compile("[\u2e80-\uffdc]")
 RUNS = {"gbk": re.compile(r"(?:[^\x00-\x7f]{2})+"), "cp932": re.compile(r"[^\x00-\x7f](?:[@-~]|[^\x00-\x7f])(?:[@-~]?[^\x00-\x7f]+[@-~]?)*")}
 
 
-def widen(text: str, shown: str, was: str) -> str:
-    """Read in the two-byte encoding `was` what was shown in the single-byte encoding `shown`."""
+@lru_cache(maxsize=1 << 17)
+def wide_run(run: str, shown: str, was: str) -> str:
     table = BYTES[shown]
+    raw = bytes(table.get(c, ord(c) if ord(c) < 128 else 255) for c in run)
+    for cut in (0, 1):  # an ASCII letter at the end may not belong to the run
+        if cut and run[-1] > "\x7f":
+            break
+        try:
+            return raw[: len(raw) - cut].decode(was) + run[len(raw) - cut :]
+        except UnicodeDecodeError:
+            continue
+    return run
 
-    def sub(m: re.Match) -> str:
-        raw = bytes(table.get(c, ord(c) if ord(c) < 128 else 255) for c in m[0])
-        for cut in (0, 1):  # an ASCII letter at the end may not belong to the run
-            if cut and m[0][-1] > "\x7f":
-                break
-            try:
-                return raw[: len(raw) - cut].decode(was) + m[0][len(raw) - cut :]
-            except UnicodeDecodeError:
-                continue
-        return m[0]
 
-    return RUNS[was].sub(sub, text)
+def widen(text: str, shown: str, was: str) -> str:
+    """Read in the two-byte encoding `was` what was shown in the single-byte encoding `shown`."""
+    return RUNS[was].sub(lambda m: wide_run(m[0], shown, was), text)
 
 
-LATIN_RUN = re.compile("[\u0080-\u00ff\u0152-\u0192\u02c6\u02dc\u2013-\u203a\u20ac\u2122]{2}|[\u0080-\u009f]")
+LATIN = "\u0080-\u00ff\u0152-\u0192\u02c6\u02dc\u2013-\u203a\u20ac\u2122"
+LATIN_RUN = re.compile(f"[{LATIN}]{{2}}|[\x80-\x9f]")
+#: Two characters of a two-byte encoding in a row, as a name of two characters leaves; fewer are evidence only together.
+LATIN_NAME = re.compile(f"[{LATIN}]{{4}}")
+CONTROLS = re.compile("[\x80-\x9f]")
 
 
 def successors(text: str):
-    for e in SINGLE:
-        if PATTERNS[e].search(text):
-            yield f"{e}>utf-8", decode_single(text, e)
+    """(operation, text) of every operation that can apply. Each that changes a text shortens it, so that a search always ends."""
+    if PAIR.search(text):
+        for e in SINGLE:
+            if PATTERNS[e].search(text):
+                yield f"{e}>utf-8", decode_single(text, e)
+    if len(LATIN_RUN.findall(text)) > 2 or LATIN_NAME.search(text):
+        controls = CONTROLS.search(text)  # without any, the two encodings show one text
+        for was in RUNS:
+            for shown in ("cp1252", "latin-1") if controls else ("cp1252",):
+                yield f"{shown}>{was}", widen(text, shown, was)
     if WIDE.search(text):
         for e in DOUBLE:
             yield f"{e}>utf-8", decode_double(text, e)
-    if len(LATIN_RUN.findall(text)) > 2:
-        for was in RUNS:
-            for shown in ("cp1252", "latin-1"):
-                yield f"{shown}>{was}", widen(text, shown, was)
     if "&" in text:
         yield "unescape", html.unescape(text)
 
@@ -136,73 +149,88 @@ def script_of(c: str) -> str:
     return "" if not c.isalpha() else "L" if "À" <= c <= "ɏ" or "Ḁ" <= c <= "ỿ" else "J" if c >= "⺀" else "O"
 
 
-class Cost:
-    """How implausible a text's characters are. `count` says how often each code point occurs in the corpus."""
+class Scripts(dict):
+    """For str.translate: the script letter of each character, a blank for none."""
+
+    def __missing__(self, c: int) -> str:
+        self[c] = s = script_of(chr(c)) or " "
+        return s
+
+
+class Prices(dict):
+    """How implausible each character is, given how often each code point from U+0080 on occurs in the corpus."""
 
     def __init__(self, count: dict[int, int]):
-        self.most = math.log(1 + max((n for c, n in count.items() if c >= 0x2E80), default=1))
-        self.count, self.memo = count, {}
+        super().__init__()
+        self.most = {wide: math.log(1 + max((n for c, n in count.items() if (c >= 0x2E80) == wide), default=1)) for wide in (False, True)}
+        self.count = count
 
-    def char(self, c: str) -> float:
-        k = self.memo.get(c)
-        if k is None:
-            self.memo[c] = k = self._char(c)
-        return k
+    def __missing__(self, c: str) -> float:
+        self[c] = price = self.of(c)
+        return price
 
-    def _char(self, c: str) -> float:
-        kind = unicodedata.category(c)
+    def of(self, c: str) -> float:
         if c < "\x80":
             return 0.0 if c >= " " or c in "\n\t\r" else 3.0
-        if c == "�" or kind in ("Cc", "Co", "Cn"):
+        if c == "\ufffd" or unicodedata.category(c) in ("Cc", "Co", "Cn"):
             return 10.0
-        if c in ODD:
-            return 4.0
-        if c in COMMON:
-            return 1.2
-        if "｡" <= c <= "ﾟ":
-            return 4.0
-        if "À" <= c <= "ɏ":
-            return 1.2 if c.islower() else 1.8
-        if c >= "⺀" and c.isalpha():  # by how much rarer than the commonest, and if it is found nowhere else
-            n = self.count.get(ord(c), 0)
-            return 1.0 + 0.6 * max(0.0, self.most - math.log(1 + n)) + 3.0 * (n == 0)
-        return 1.5 if kind[0] in "LM" else 3.0
+        # by how much rarer than the commonest of its kind, and if it is found nowhere else
+        n = self.count.get(ord(c), 0)
+        return 1.0 + RARE * max(0.0, self.most[c >= "\u2e80"] - math.log(1 + n)) + 3.0 * (n == 0)
+
+
+class Cost:
+    """How implausible a text is: the prices of its characters, and clashes of scripts."""
+
+    def __init__(self, count: dict[int, int]):
+        self.prices, self.scripts = Prices(count), Scripts()
 
     def __call__(self, text: str) -> float:
-        total = sum(map(self.char, HIGH.findall(text)))
-        last = ""
-        for c in text:
-            s = script_of(c)
-            # letters of two scripts within a word; beside Chinese and Japanese that is ordinary
-            if s and last and s != last and "J" not in (s, last):
-                total += 3.0
-            last = s
-        return total
+        if "&" in text and (shown := html.unescape(text)) != text:  # an escape costs what it stands for, and a little
+            return self(shown) + 0.5
+        # letters of two scripts within a word; beside Chinese and Japanese that is ordinary
+        return sum(map(self.prices.__getitem__, HIGH.findall(text))) + 3.0 * len(CLASH.findall(text.translate(self.scripts)))
+
+
+RARE = 0.6  # what a character costs for each e-fold that it is rarer
+CLASH = re.compile("L(?=O)|O(?=L)")
 
 
 def restore(text: str, cost: Cost) -> tuple[str, list[str]]:
     """The cheapest text that encode, decode and unescape operations reach, and the operations.
 
-    Best first: the cheapest open text is expanded next; texts seen before are not opened again.
+    Best first: the cheapest open text is expanded next; texts seen before are not opened again. A layer of garbling
+    makes text costlier, so undoing one makes it cheaper: an operation counts if it does. The search ends at the first
+    opened text that no operation changes any more if none is cheaper, else when nothing is left to
+    open; the number of texts and operations has no limit. Of two operations one of which does all that the other does
+    and more, making the text cheaper, the other is left out.
     """
-    heap, best, seen = [], None, {hash(text)}
-    opened = [(0.0, text, [])]
-    while opened or (heap and len(seen) < STATES):
-        c, t, path = opened.pop() if opened else (lambda x: (x[0], x[2], x[3]))(heapq.heappop(heap))
-        if len(path) > 3:
-            continue
+    heap, best, seen, start, opened = [(0.0, 0, text, [])], None, {text}, 0.0, 0
+    while heap:
+        c, _, t, path = heapq.heappop(heap)
+        new = {}
+        changed = False
         for op, u in successors(t):
-            if hash(u) in seen:
+            changed |= u != t
+            if u not in seen:
+                new.setdefault(u, op)
+        if new and best is None:  # the cost of what was given is asked for only if there is something to compare
+            c = start = cost(text)
+            best = (start, text, [])
+        seen.update(new)
+        kept: list[tuple[float, str, str]] = []
+        for d, u, op in sorted((cost(u), u, op) for u, op in new.items()):
+            if any(before < d and decode_single(u, e) == v for before, v, e in kept):
                 continue
-            if best is None:  # the cost of what was given is asked for only if there is something to compare
-                start = cost(text)
-                best = (start, text, [])
-            seen.add(hash(u))
-            d = cost(u)
+            if op.removesuffix(">utf-8") in PATTERNS:
+                kept.append((d, u, op.removesuffix(">utf-8")))
             if d < best[0] - 1e-9:
                 best = (d, u, [*path, op])
-            if d <= best[0] + 30:
-                heapq.heappush(heap, (d, len(seen), u, [*path, op]))
+            if d < c - 1e-9:
+                opened += 1
+                heapq.heappush(heap, (d, opened, u, [*path, op]))
+        if best and not changed and best[1] == t:
+            break
     return (best[1], best[2]) if best and start - best[0] >= GAIN else (text, [])
 
 
@@ -218,8 +246,10 @@ def lines(text: str) -> list[str]:
 def examine(text: str, cost: Cost) -> tuple[bool, bool, str]:
     """(garbled, restored, text): whether a stretch is garbled, whether all garbled stretches could be had back, and the text then."""
     garbled, whole, out = False, True, []
+    if not SUSPECT.search(text):
+        return False, False, text
     for line in lines(text):
-        if line.isascii():
+        if not SUSPECT.search(line):
             out.append(line)
             continue
         got, path = restore(line, cost)
@@ -233,22 +263,25 @@ def examine(text: str, cost: Cost) -> tuple[bool, bool, str]:
     return garbled, garbled and whole, "".join(out)
 
 
+#: What a line must hold for an operation to apply or a loss to show: without it a line needs no search.
+SUSPECT = re.compile(f"{PAIR.pattern}|{WIDE.pattern}|{LATIN_RUN.pattern}|&[#A-Za-z]|[\ue000-\uf8ff\ufffd\x80-\x9f]")
+
+
 def lost(line: str) -> bool:
     """Signs of garbling that no operation undoes: private characters, or controls of the upper range, among letters."""
     return bool(re.search(r"[-]|[^\W\d_][\x80-\x84\x86-\x9f]|[\x80-\x84\x86-\x9f][^\W\d_]", line))
 
 
 def code_point_counts(df: DataFrame, text: str = "text") -> dict[int, int]:
-    """Occurrences of each code point of CJK and beyond over all texts; at most as many numbers as Unicode has."""
+    """Occurrences of each code point from U+0080 on over all texts; at most as many numbers as Unicode has."""
 
     def run(batches):
         total = np.zeros(0x110000, np.int64)
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                if t and not t.isascii():
-                    cp = np.frombuffer(t.encode("utf-32-le"), np.uint32)
-                    at, n = np.unique(cp[cp >= 0x2E80], return_counts=True)
-                    total[at] += n
+            texts = [t for t in batch.column(0).to_pylist() if t and not t.isascii()]
+            for k in range(0, len(texts), 500):
+                cp = np.frombuffer("".join(texts[k : k + 500]).encode("utf-32-le", "surrogatepass"), np.uint32)
+                total += np.bincount(cp[cp >= 0x80], minlength=0x110000)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["c", "n"])
 
@@ -259,7 +292,7 @@ def code_point_counts(df: DataFrame, text: str = "text") -> dict[int, int]:
 def find_garbled(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, restored, text) of each row with at least one garbled stretch; `restored` says if all of it could be had back.
 
-    Null and empty texts, and texts of ASCII alone, are never garbled. The whole text is examined, line by
+    Null and empty texts, and texts of ASCII alone without escapes, are never garbled. The whole text is examined, line by
     line. Only the table of code point counts, of bounded size, is held by every task.
     """
     counts = df.sparkSession.sparkContext.broadcast(code_point_counts(df, text))
@@ -276,5 +309,5 @@ def find_garbled(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.bool_()), pa.array(cols[2], pa.string())], names=[key, "restored", "text"])
 
-    some = df.select(key, F.col(text).alias("text")).filter(F.col("text").rlike(r"[^\x00-\x7f]"))
+    some = df.select(key, F.col(text).alias("text")).filter(F.col("text").rlike(r"[^\x00-\x7f]|&[#A-Za-z]"))
     return some.mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, restored boolean, text string")

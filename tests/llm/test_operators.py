@@ -295,3 +295,16 @@ def test_distance_rejects_gibberish_and_short_parts_need_clean_words():
     assert model.judge(["xqzt vbnmw qqpf ztrrx wkkj qwxz", "Skibod Trouhat Zemmuring", "🙂 !!"]) == [[], [], []]
     assert [p[0] for p in model.judge([SAMPLES["zh"] + " | council repair"])[0]] == ["zh", "en"]
     assert [p[0] for p in model.judge([SAMPLES["zh"] + " | Zemmu Skibod"])[0]] == ["zh"]
+
+
+def test_garbling_of_any_depth_and_short_runs(spark):
+    plain = "Der Rat prüft die Brücke über den Fluß: „größer“ hieß es. 会议将在下周举行。"
+    rows, text = [(0, plain)], plain
+    for k in range(1, 6):
+        text = text.encode("utf-8").decode("latin-1")
+        rows.append((k, text))
+    rows += [(10, "Herr &Atilde;&frac14;ber sagte, der Flu&Atilde;&Yuml; steigt"), (11, "Fish &amp; chips"), (12, "Ein Café, naïve Häuser «für» “Öl”")]
+    rows += [(20 + k, "会议将在下周举行。公司" * 9) for k in range(9)] + [(13, "Mr " + "公司".encode("gbk").decode("latin-1") + " spoke")]
+    got = {x.doc_id: x for x in garble.find_garbled(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) == {1, 2, 3, 4, 5, 10, 13} and got[13].text == "Mr 公司 spoke"
+    assert all(got[k].text == plain for k in range(1, 6)) and got[10].text == "Herr über sagte, der Fluß steigt"
