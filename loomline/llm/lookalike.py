@@ -15,10 +15,10 @@ from loomline.runtime import hot_keys, lookup
 # Letters of other scripts that look like Latin ones (Unicode's confusables, letters of names only).
 CYRILLIC = "аaеeоoрpсcуyхxіiјjѕsһhԁdԛqԝwѵvӏlёëїïАAВBЕEКKМMНHОOРPСCТTУYХXІIЈJЅSҺHԚQԜW"
 GREEK = "οoαaνvιiρpυuκkηnχxγyωwτtεeσoόóίíάáΑAΒBΕEΖZΗHΙIΚKΜMΝNΟOΡPΤTΥYΧX"
+ARMENIAN = "օoսuհhոnցgզqյjՕOՍUՏSԼL"
+CHEROKEE = "ᎠDᎡRᎢTᎪAᎫJᎬEᎩYᎳWᎷMᎻHᏀGᏃZᏌUᏙVᏚSᏞLᏟCᏢPᏦKᏴB"
 HYPHENS = "‐‑‒–−﹘﹣－⁃"
-LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
-
-TO_LATIN = {s: dict(zip(t[::2], t[1::2])) for s, t in (("CYRILLIC", CYRILLIC), ("GREEK", GREEK))}
+TO_LATIN = {s: dict(zip(t[::2], t[1::2])) for s, t in (("CYRILLIC", CYRILLIC), ("GREEK", GREEK), ("ARMENIAN", ARMENIAN), ("CHEROKEE", CHEROKEE))}
 FROM_LATIN = {s: {v: k for k, v in t.items()} for s, t in TO_LATIN.items()}
 WORD = re.compile(r"[^\W\d_]+(?:[^\W\d_]|[̀-ͯ])*")
 
@@ -37,9 +37,12 @@ def plain_char(ch: str) -> str:
         return ch
     if ch in HYPHENS:
         return "-"
-    if ch in LIGATURES:
-        return LIGATURES[ch]
     kind = unicodedata.category(ch)
+    # ligatures, numerals and styled letters are by rule those that compatibility decomposition turns into letters of an alphabet
+    if kind[0] in "LN" and unicodedata.decomposition(ch).startswith(("<compat>", "<font>")):
+        out = unicodedata.normalize("NFKC", ch)
+        if all(script(c) in ("LATIN", *TO_LATIN) and c.isalpha() or c.isdigit() and c.isascii() for c in out):
+            return out
     if kind in ("Zs", "Zl", "Zp") or ch in "\t\n\r\x0b\x0c\x85":
         return " "
     if kind in ("Cf", "Cc") or ch in "͏ᅟᅠㅤﾠ" or "︀" <= ch <= "️":
@@ -61,6 +64,11 @@ def mixed_words(value: str) -> list[str]:
     return [w for w in WORD.findall(value) if not w.isascii() and len({script(c) for c in w if c.isalpha()}) > 1]
 
 
+def put(text: str, fix: dict[str, str]) -> str:
+    """The text with every whole word of `fix` replaced."""
+    return WORD.sub(lambda m: fix.get(m[0], m[0]), text) if fix else text
+
+
 def repairs(word: str) -> list[str]:
     """The word in one script, each way that look-alikes allow; the dominant script's comes first."""
     count: dict[str, int] = {}
@@ -91,12 +99,11 @@ def repairs(word: str) -> list[str]:
 
 def plain(value: str, known: set[str] | frozenset[str] = frozenset()) -> str:
     """The plain form: a word of mixed scripts takes the repair that is a known word, else the dominant script's."""
-    out = fold(value)
+    out, fix = fold(value), {}
     for word in mixed_words(out):
         ways = repairs(word)
-        best = next((w for w in ways if w.lower() in known), ways[0] if ways else word)
-        out = out.replace(word, best)
-    return out
+        fix[word] = next((w for w in ways if w.lower() in known), ways[0] if ways else word)
+    return put(out, fix)
 
 
 def plain_forms(values: DataFrame, value: str = "value") -> DataFrame:
@@ -124,10 +131,16 @@ def plain_forms(values: DataFrame, value: str = "value") -> DataFrame:
     judged = each.join(vocabulary, F.lower("way") == F.col("known"), "left").withColumn("miss", F.col("known").isNull().cast("int"))
     best = judged.groupBy("value", "word").agg(F.min(F.struct("miss", "place", "way")).alias("b"))
     best = best.groupBy("value").agg(F.collect_list(F.struct("word", F.coalesce("b.way", "word").alias("way"))).alias("fix"))
-    done = seen.join(best, "value", "left").withColumn("fix", F.coalesce("fix", F.array()))
-    repaired = F.aggregate("fix", F.col("folded"), lambda s, f: F.replace(s, f["word"], f["way"]))
-    return done.select("value", repaired.alias("plain"), (F.size("words") > 0).alias("mixed")).select(
-        "value", "plain", (F.col("mixed") | (F.col("plain") != F.col("value"))).alias("differs"))
+    done = seen.join(best, "value", "left").withColumn("fix", F.coalesce("fix", F.array().cast("array<struct<word:string,way:string>>")))
+    done = done.select("value", "folded", F.map_from_arrays("fix.word", "fix.way").alias("fix"), (F.size("words") > 0).alias("mixed"))
+
+    def repair(batches):
+        for batch in batches:
+            plain = [put(f, dict(x or ())) for f, x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(plain, pa.string()), batch.column(3)], names=["value", "plain", "mixed"])
+
+    repaired = done.mapInArrow(repair, "value string, plain string, mixed boolean")
+    return repaired.select("value", "plain", (F.col("mixed") | (F.col("plain") != F.col("value"))).alias("differs"))
 
 
 def find_odd(rows: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import os
 import unicodedata
 from functools import lru_cache
 from itertools import chain
@@ -28,7 +29,7 @@ def default_vocabulary() -> str:
 
         return public_tokenizers.path("byte_bpe_50k.tiktoken")
     except ImportError:
-        return "/opt/tokenizers/byte_bpe_50k.tiktoken"
+        return os.environ.get("TOKENIZER_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 
 
 @lru_cache(maxsize=1)
@@ -160,8 +161,9 @@ class Encoder(dict):
         return cat(ids_of, np.int32), cat(ends, np.int64), cat(byte_of, np.int64)
 
 
-def encode_column(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str | None = None, count_only: bool = False) -> DataFrame:
-    """(key, ids): the token ids of each text, or (key, n_ids) if count_only.
+def encode_column(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str | None = None, count_only: bool = False, offsets: bool = False) -> DataFrame:
+    """(key, ids): the token ids of each text, or (key, n_ids) if count_only; with offsets also (starts), of each id the
+    byte of the text's UTF-8 at which its pre-token starts: ids of equal start decode together to the bytes up to the next.
 
     A null and an empty text both give the empty list. Special tokens' strings are ordinary text.
     Any table with a key and a text column will do; other columns are not read. The vocabulary file
@@ -173,15 +175,22 @@ def encode_column(df: DataFrame, key: str = "doc_id", text: str = "text", vocabu
     def run(batches):
         encoder = Encoder(read_ranks(shipped.value))
         for batch in batches:
-            ids, ends, _ = encoder.encode(batch.column(1).to_pylist())
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            ids, ends, at = encoder.encode(texts)
+            more = []
             if count_only:
                 value = pa.array(np.diff(np.r_[0, ends]).astype(np.int32), pa.int32())
             else:
-                value = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32), pa.int32()), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), value], names=[key, "n_ids" if count_only else "ids"])
+                edges = pa.array(np.r_[0, ends].astype(np.int32), pa.int32())
+                value = pa.ListArray.from_arrays(edges, pa.array(ids, pa.int32()))
+                if offsets:
+                    size = np.fromiter((len(t.encode()) for t in texts), np.int64, len(texts))
+                    first = np.repeat(np.cumsum(size) - size, np.diff(np.r_[0, ends]))
+                    more = [pa.ListArray.from_arrays(edges, pa.array((at - first).astype(np.int32), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), value, *more], names=[key, "n_ids" if count_only else "ids", *["starts"] * len(more)])
 
     kind = df.schema[key].dataType.simpleString()
-    out = f"`{key}` {kind}, " + ("n_ids int" if count_only else "ids array<int>")
+    out = f"`{key}` {kind}, " + ("n_ids int" if count_only else "ids array<int>" + ", starts array<int>" * offsets)
     return df.select(F.col(key), F.col(text).cast("string")).mapInArrow(run, out)
 
 

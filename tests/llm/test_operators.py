@@ -308,3 +308,9 @@ def test_garbling_of_any_depth_and_short_runs(spark):
     got = {x.doc_id: x for x in garble.find_garbled(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert set(got) == {1, 2, 3, 4, 5, 10, 13} and got[13].text == "Mr 公司 spoke"
     assert all(got[k].text == plain for k in range(1, 6)) and got[10].text == "Herr über sagte, der Fluß steigt"
+
+
+def test_lookalikes_of_more_scripts_and_whole_words(spark):
+    rows = [("f", "1", "Hօuse Սnion"), ("f", "2", "ᎪᎡt ﬁne Ⅳ"), ("f", "3", "𝐁ank"), ("f", "4", "Առավոտ"), ("f", "5", "Ꮳꮃꮒ"), ("f", "6", "pаn pаnama"), ("f", "7", "…№ ½")]
+    got = {x.rowId: x.plain for x in lookalike.find_odd(spark.createDataFrame(rows, "field string, rowId string, value string")).collect()}
+    assert got == {"1": "House Union", "2": "ARt fine IV", "3": "Bank", "6": "pan panama"}

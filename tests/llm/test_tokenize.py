@@ -36,3 +36,19 @@ def test_frame(spark):
     df = spark.createDataFrame([(1, "hello hello", "x"), (2, None, "y"), (3, "", "z")], "doc_id long, text string, ids string")
     assert {r.doc_id: r.ids for r in t.encode_column(df).collect()} == {1: OTHER.encode_ordinary("hello hello"), 2: [], 3: []}
     assert t.encode_column(df.limit(0)).count() == 0
+
+
+def test_offsets_tell_where_ids_stand(spark):
+    texts = ["Hello, wörld's  best 日本語 text", "", None, "a" * 200, "  x\n\ny 😀😀"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ranks = RANKS
+    tokens = {v: k for k, v in ranks.items()}
+    for r in t.encode_column(frame, offsets=True).collect():
+        raw, at = (texts[r.doc_id] or "").encode(), 0
+        assert len(r.ids) == len(r.starts)
+        for i, (token, start) in enumerate(zip(r.ids, r.starts)):
+            if i == 0 or start != r.starts[i - 1]:
+                assert start == at
+            assert raw[at : at + len(tokens[token])] == tokens[token]
+            at += len(tokens[token])
+        assert at == len(raw)
