@@ -86,9 +86,14 @@ def briefing_page(spark: SparkSession, d: str) -> DataFrame:
     return c.select("entry", F.expr(RANK).cast("int").alias("rank"), "latest").orderBy(F.desc("rank"), F.desc("latest"), "entry").limit(30)
 
 
-@query(f"""WITH {CANDIDATES} SELECT entry, quality + 4 * least(sources, 5) + least(items, 10) AS score, representative FROM cand ORDER BY score DESC, quality DESC, latest DESC, entry LIMIT 50""")
+# Weights and limits of a candidate's score.
+SCORE = """CAST(greatest(0, least(100, floor(50 + (quality - 50) * 0.3D + least(12, greatest(0, sources - 1) * 4) + least(6, floor(log2(greatest(1, items)) + 1e-9D) * 2) + 0.5D))) AS INT)"""
+
+
+@query(f"""WITH {CANDIDATES} SELECT entry, {SCORE.replace('0.3D', 'CAST(0.3 AS DOUBLE)').replace('1e-9D', '1e-9').replace('0.5D', '0.5')} AS score, representative FROM cand ORDER BY score DESC, quality DESC, latest DESC, entry LIMIT 50""")
 def report_candidates(spark: SparkSession, d: str) -> DataFrame:
-    c = day_candidates(visible(spark, d)).withColumn("score", F.col("quality") + 4 * F.least("sources", F.lit(5)) + F.least("items", F.lit(10)))
+    """The best fifty of a day by quality, number of sources and, by powers of two, number of items."""
+    c = day_candidates(visible(spark, d)).withColumn("score", F.expr(SCORE))
     return c.orderBy(F.desc("score"), F.desc("quality"), F.desc("latest"), "entry").limit(50).select("entry", "score", "representative")
 
 
@@ -121,22 +126,31 @@ def rank_sample(spark: SparkSession, d: str) -> DataFrame:
     return r.filter(F.col("k").isin(1, 2, 3, 4, 5, 8, 10, 15, 20)).select("clusterId", "id", "k")
 
 
-def title_similarity(a: Column, b: Column) -> Column:
-    """1 if one title holds the other, else the Jaccard similarity of their pairs of neighbouring characters; case, space and punctuation don't count."""
-    plain = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "")
-    grams = lambda c: F.array_distinct(F.when(F.length(c) < 2, F.array(c)).otherwise(F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substring(c, i, F.lit(2)))))
-    x, y = plain(a), plain(b)
-    both = F.size(F.array_intersect(grams(x), grams(y)))
-    return F.when(x.contains(y) | y.contains(x), F.lit(1.0)).otherwise(both / (F.size(grams(x)) + F.size(grams(y)) - both))
+def with_title_similarity(df: DataFrame, a: str, b: str, name: str = "similarity") -> DataFrame:
+    """Adds how alike two titles are: 0 if one is empty, 1 if one holds the other, else the Jaccard similarity of their pairs
+    of neighbouring characters; width, case, space and punctuation don't count."""
+    from loomline.functions.text import nfkc  # defining it needs a session
+
+    plain = lambda c: F.regexp_replace(F.lower(nfkc(F.col(c))), r"[^\p{L}\p{N}]+", "")
+    grams = lambda c: F.array_distinct(F.when(F.length(c) < 2, F.array(c)).otherwise(F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substring(F.col(c), i, F.lit(2)))))
+    df = df.withColumn("_x", F.coalesce(plain(a), F.lit(""))).withColumn("_y", F.coalesce(plain(b), F.lit("")))
+    df = df.withColumn("_gx", grams("_x")).withColumn("_gy", grams("_y")).withColumn("_n", F.size(F.array_intersect("_gx", "_gy")))
+    score = F.when((F.col("_x") == "") | (F.col("_y") == ""), F.lit(0.0)).when(F.col("_x").contains(F.col("_y")) | F.col("_y").contains(F.col("_x")), F.lit(1.0))
+    return df.withColumn(name, score.otherwise(F.col("_n") / (F.size("_gx") + F.size("_gy") - F.col("_n")))).drop("_x", "_y", "_gx", "_gy", "_n")
+
+
+def _narrow(c: str) -> str:
+    wide = {chr(0xFF01 + i): chr(0x21 + i) for i in range(94) if chr(0x21 + i) != "'"}
+    return f"lower(translate(nfc_normalize({c}), '{''.join(wide)}', '{''.join(wide.values())}'))"
 
 
 _G = "list_distinct(CASE WHEN length({0}) < 2 THEN [{0}] ELSE list_transform(range(1, length({0})), lambda i: substring({0}, i, 2)) END)"
 
 
-@query(f"""WITH {VISIBLE}, t AS (SELECT id, clusterId, regexp_replace(lower(originalTitle), '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS x, regexp_replace(lower(ctitle), '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS y FROM vis WHERE clusterId IS NOT NULL),
+@query(f"""WITH {VISIBLE}, t AS (SELECT id, clusterId, regexp_replace({_narrow('originalTitle')}, '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS x, regexp_replace({_narrow('ctitle')}, '[^\\p{{L}}\\p{{N}}]+', '', 'g') AS y FROM vis WHERE clusterId IS NOT NULL),
     g AS (SELECT id, x, y, {_G.format('x')} AS gx, {_G.format('y')} AS gy FROM t), b AS (SELECT *, len(list_intersect(gx, gy)) AS n FROM g)
-    SELECT id, CASE WHEN contains(x, y) OR contains(y, x) THEN 1.0 ELSE round(n / CAST(len(gx) + len(gy) - n AS DOUBLE), 6) END AS similarity FROM b""")
+    SELECT id, CASE WHEN x = '' OR y = '' THEN 0.0 WHEN contains(x, y) OR contains(y, x) THEN 1.0 ELSE round(n / CAST(len(gx) + len(gy) - n AS DOUBLE), 6) END AS similarity FROM b""")
 def title_match(spark: SparkSession, d: str) -> DataFrame:
     """How alike an item's title and its cluster's are."""
     v = visible(spark, d).filter("clusterId is not null")
-    return v.select("id", F.round(title_similarity(F.col("originalTitle"), F.col("ctitle")), 6).alias("similarity"))
+    return with_title_similarity(v, "originalTitle", "ctitle").select("id", F.round("similarity", 6).alias("similarity"))

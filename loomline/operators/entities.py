@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loomline.operators.feed import items_once
 from loomline.registry import ITEMS, query
-from loomline.runtime import materialize, table
+from loomline.runtime import materialize, pairs_within, table
 
 # Punctuation cut from a name's edges, and names too general to be entities.
 EDGE = r"[\s#＃\"“”‘’`.,，。:：;；!?！？、()\[\]{}【】<>《》]+"
@@ -174,10 +174,8 @@ def shared_items(spark: SparkSession, d: str) -> DataFrame:
     SELECT a.k AS a, b.k AS b, count(*) AS votes FROM s a JOIN s b ON a.clusterId = b.clusterId AND a.k < b.k GROUP BY 1, 2""")
 def subject_votes(spark: SparkSession, d: str) -> DataFrame:
     """How many clusters hold two subjects together: different subjects of a cluster are few, its items may be many."""
-    s = items_once(spark, d).filter("clusterId is not null and eventSubject is not null").select("clusterId", F.lower("eventSubject").alias("k")).distinct()
-    x, y = s.alias("x"), s.alias("y")
-    p = x.join(y, (F.col("x.clusterId") == F.col("y.clusterId")) & (F.col("x.k") < F.col("y.k")))
-    return p.groupBy(F.col("x.k").alias("a"), F.col("y.k").alias("b")).agg(F.count(F.lit(1)).alias("votes"))
+    s = items_once(spark, d, "clusterId is not null and eventSubject is not null").select("clusterId", F.lower("eventSubject").alias("k")).distinct()
+    return pairs_within(s, "clusterId", "k").groupBy("a", "b").agg(F.count(F.lit(1)).alias("votes"))
 
 
 @query(f"""WITH {ITEM_ENTITIES}, n AS (SELECT k, count(*) AS items FROM ie GROUP BY 1), a AS (SELECT entityId, count(*) AS aliases FROM aliases GROUP BY 1)

@@ -12,11 +12,16 @@ from loomline.registry import DOMINANT, ENTRIES, ITEMS, STATS, VISIBLE, query
 from loomline.runtime import materialize, table
 
 
-def items_once(spark: SparkSession, d: str) -> DataFrame:
-    """Each item id once, the row updated last; sid is the source in lower case without outer blanks."""
+def items_once(spark: SparkSession, d: str, where: str | None = None) -> DataFrame:
+    """Each item id once, the row updated last; sid is the source in lower case without outer blanks.
+
+    `where` is a condition on the items. Rows of one id differ in updatedAt alone, so a condition on anything else is
+    applied before rows are compared: it reaches the scan, and only what is left is shuffled.
+    """
+    items = table(spark, d, "items").withColumn("sid", F.lower(F.trim("sourceId"))).drop("sourceId")
+    items = items.filter(where) if where else items
     newest = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("updatedAt")))
-    items = table(spark, d, "items").withColumn("_r", newest).filter("_r = 1").drop("_r")
-    return items.withColumn("sid", F.lower(F.trim("sourceId"))).drop("sourceId")
+    return items.withColumn("_r", newest).filter("_r = 1").drop("_r")
 
 
 def half_up(c: Column) -> Column:
@@ -30,7 +35,7 @@ def clamp(c: Column, top: int = 100) -> Column:
 
 def visible(spark: SparkSession, d: str) -> DataFrame:
     """Processed, allowed items of enabled sources, in no cluster or an active one. Sources are a small dimension; Spark chooses the join."""
-    items = items_once(spark, d).filter("status = 'processed' and moderationStatus in ('allowed', 'restored') and not isAggregation")
+    items = items_once(spark, d, "status = 'processed' and moderationStatus in ('allowed', 'restored') and not isAggregation")
     sources = table(spark, d, "sources").filter("enabled").select(F.col("id").alias("sid"), "groupId")
     clusters = table(spark, d, "content_clusters").select(F.col("id").alias("clusterId"), F.col("status").alias("cstatus"), F.col("title").alias("ctitle"), F.col("summary").alias("csummary"))
     return items.join(sources, "sid").join(clusters, "clusterId", "left").filter("clusterId is null or cstatus = 'active'")
@@ -64,10 +69,16 @@ ORDERS = {"newest": ("created", "score", "itemCount", "entryId"), "score_desc":
 
 
 def page(df: DataFrame, order: str, number: int, size: int = 50) -> DataFrame:
-    """One page in a total order; a page beyond the last is the last."""
-    total = df.count()
-    number = max(1, min(number, -(-total // size)))
-    return df.orderBy(*[F.desc(c) for c in ORDERS[order]]).offset((number - 1) * size).limit(size)
+    """One page in a total order; a page beyond the last is the last.
+
+    The rows up to the page's end are found in one pass with a bounded heap; how many they are says which page is
+    the last, so that nothing is counted beforehand.
+    """
+    keys = [F.desc(c) for c in ORDERS[order]]
+    top = df.orderBy(*keys).limit(max(1, number) * size)
+    top = top.withColumn("_k", F.row_number().over(Window.orderBy(*keys))).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy()))
+    asked = F.least(F.lit(max(1, number)), F.ceil(F.col("_n") / size))
+    return top.filter(F.ceil(F.col("_k") / size) == asked).drop("_k", "_n")
 
 
 @query(f"WITH {ENTRIES} SELECT * FROM entries ORDER BY created DESC, score DESC, itemCount DESC, entryId DESC LIMIT 50")
@@ -222,13 +233,14 @@ def cluster_display_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {ITEMS} SELECT clusterId, max(updatedAt) AS updatedAt FROM it WHERE clusterId IS NOT NULL GROUP BY clusterId")
 def cluster_latest_update(spark: SparkSession, d: str) -> DataFrame:
-    return items_once(spark, d).filter("clusterId is not null").groupBy("clusterId").agg(F.max("updatedAt").alias("updatedAt"))
+    """Repeated rows don't change a maximum."""
+    return table(spark, d, "items").filter("clusterId is not null").groupBy("clusterId").agg(F.max("updatedAt").alias("updatedAt"))
 
 
 @query(f"WITH {ITEMS} SELECT c.id, c.itemCount AS stored, count(it.id) AS actual FROM content_clusters c LEFT JOIN it ON it.clusterId = c.id GROUP BY c.id, c.itemCount HAVING count(it.id) <> c.itemCount")
 def cluster_stale_counts(spark: SparkSession, d: str) -> DataFrame:
     """Clusters whose stored count is stale: one aggregation and a join in place of a correlated count."""
-    n = items_once(spark, d).filter("clusterId is not null").groupBy(F.col("clusterId").alias("id")).agg(F.count(F.lit(1)).alias("actual"))
+    n = items_once(spark, d, "clusterId is not null").groupBy(F.col("clusterId").alias("id")).agg(F.count(F.lit(1)).alias("actual"))
     c = table(spark, d, "content_clusters").select("id", F.col("itemCount").alias("stored")).join(n, "id", "left").fillna(0, ["actual"])
     return c.filter("actual <> stored")
 

@@ -89,13 +89,13 @@ def staleness(spark: SparkSession, d: str) -> DataFrame:
     return items_once(spark, d).select("id", verdict.alias("verdict"))
 
 
-@query(f"""WITH {ITEMS}, r AS (SELECT id, sid, createdAt, row_number() OVER (PARTITION BY sid ORDER BY createdAt, id) AS k FROM it WHERE status IN ('new', 'fetched', 'failed'))
-    SELECT id, sid, k FROM r WHERE k <= 5 ORDER BY k, createdAt, id LIMIT 60""")
+@query(f"""WITH {ITEMS}, r AS (SELECT id, sid, createdAt, urlHash, row_number() OVER (PARTITION BY sid ORDER BY createdAt, urlHash) AS k FROM (SELECT it.*, i.urlHash FROM it JOIN (SELECT id, min(urlHash) AS urlHash FROM items GROUP BY 1) i USING (id)) WHERE status IN ('new', 'fetched', 'failed'))
+    SELECT id, sid, k FROM r WHERE k <= 5 ORDER BY createdAt, urlHash LIMIT 60""")
 def fair_selection(spark: SparkSession, d: str) -> DataFrame:
-    """At most five waiting items of a source, then a batch of sixty over all, the sources' first items before their second."""
-    w = Window.partitionBy("sid").orderBy("createdAt", "id")
-    wait = items_once(spark, d).filter("status in ('new', 'fetched', 'failed')").withColumn("k", F.row_number().over(w)).filter("k <= 5")
-    return wait.orderBy("k", "createdAt", "id").limit(60).select("id", "sid", "k")
+    """The first five waiting items of each source, then the first sixty over all, both by time of creation and URL hash."""
+    w = Window.partitionBy("sid").orderBy("createdAt", "urlHash")
+    wait = items_once(spark, d, "status in ('new', 'fetched', 'failed')").withColumn("k", F.row_number().over(w)).filter("k <= 5")
+    return wait.orderBy("createdAt", "urlHash").limit(60).select("id", "sid", "k")
 
 
 @query("SELECT urlHash, max(updatedAt) AS updatedAt, count(*) AS n, count(DISTINCT id) AS ids FROM items GROUP BY urlHash HAVING count(*) > 1")
@@ -156,7 +156,7 @@ def stripped_documents(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", F.length(F.regexp_replace(x, "^ +| +$", "")).alias("n"), (F.length("text") - F.length(F.replace("text", F.lit("<"), F.lit("")))).alias("tags"))
 
 
-@query("SELECT doc_id, CASE WHEN length(text) > 2000 THEN left(text, 2000) || chr(10) || '[truncated]' ELSE text END AS text FROM documents WHERE length(trim(coalesce(text, ''))) > 0")
+@query("SELECT doc_id, CASE WHEN length(text) > 32000 THEN left(text, 32000) || chr(10) || '[truncated]' ELSE text END AS text FROM documents WHERE length(trim(coalesce(text, ''))) > 0")
 def truncated_documents(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").filter("length(trim(coalesce(text, ''))) > 0")
-    return docs.select("doc_id", F.when(F.length("text") > 2000, F.concat(F.substring("text", 1, 2000), F.lit("\n[truncated]"))).otherwise(F.col("text")).alias("text"))
+    return docs.select("doc_id", F.when(F.length("text") > 32000, F.concat(F.substring("text", 1, 32000), F.lit("\n[truncated]"))).otherwise(F.col("text")).alias("text"))

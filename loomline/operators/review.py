@@ -12,21 +12,21 @@ from loomline.runtime import table
 
 @query(f"WITH {ITEMS} SELECT id, status, createdAt FROM it WHERE status IN ('failed', 'fetched') ORDER BY status = 'failed' DESC, createdAt, id LIMIT 90")
 def recovery_candidates(spark: SparkSession, d: str) -> DataFrame:
-    it = items_once(spark, d).filter("status in ('failed', 'fetched')")
+    it = items_once(spark, d, "status in ('failed', 'fetched')")
     return it.orderBy(F.desc(F.col("status") == "failed"), "createdAt", "id").limit(90).select("id", "status", "createdAt")
 
 
 @query(f"WITH {ITEMS} SELECT it.id FROM it JOIN sources s ON s.id = sid WHERE s.aggregationEnabled AND it.status IN ('failed', 'fetched', 'filtered') ORDER BY it.createdAt DESC, it.id DESC LIMIT 200")
 def reparse_candidates(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "sources").filter("aggregationEnabled").select(F.col("id").alias("sid"))
-    it = items_once(spark, d).filter("status in ('failed', 'fetched', 'filtered')").join(s, "sid", "left_semi")
+    it = items_once(spark, d, "status in ('failed', 'fetched', 'filtered')").join(s, "sid", "left_semi")
     return it.orderBy(F.desc("createdAt"), F.desc("id")).limit(200).select("id")
 
 
 @query(f"WITH {ITEMS} SELECT id, sid FROM it WHERE moderationStatus = 'filtered' AND (contains(lower(originalTitle), 'chip') OR contains(lower(coalesce(rssExcerpt, '')), 'chip')) AND createdAt >= TIMESTAMP '2026-06-22'")
 def filtered_review(spark: SparkSession, d: str) -> DataFrame:
     found = F.lower("originalTitle").contains("chip") | F.coalesce(F.lower("rssExcerpt"), F.lit("")).contains("chip")
-    return items_once(spark, d).filter("moderationStatus = 'filtered' and createdAt >= timestamp_ntz'2026-06-22'").filter(found).select("id", "sid")
+    return items_once(spark, d, "moderationStatus = 'filtered' and createdAt >= timestamp_ntz'2026-06-22'").filter(found).select("id", "sid")
 
 
 FILTERED_COLUMNS = ("originalTitle", "translatedTitle", "summaryText", "rssExcerpt")
@@ -35,7 +35,7 @@ FILTERED_COLUMNS = ("originalTitle", "translatedTitle", "summaryText", "rssExcer
 @query(f"WITH {ITEMS} SELECT id, sid FROM it WHERE moderationStatus = 'filtered' AND ({' OR '.join(f"contains(lower(coalesce({c}, '')), 'chip')" for c in FILTERED_COLUMNS)}) AND createdAt >= TIMESTAMP '2026-06-22'")
 def filtered_review_all(spark: SparkSession, d: str) -> DataFrame:
     """Filtered items found in any of the reference's columns that the table has; moderationDetail it has not."""
-    return items_once(spark, d).filter("moderationStatus = 'filtered' and createdAt >= timestamp_ntz'2026-06-22'").filter(contains("chip", FILTERED_COLUMNS)).select("id", "sid")
+    return items_once(spark, d, "moderationStatus = 'filtered' and createdAt >= timestamp_ntz'2026-06-22'").filter(contains("chip", FILTERED_COLUMNS)).select("id", "sid")
 
 
 @query(f"""WITH {ITEMS}, n AS (SELECT parentItemId AS p, count(*) AS children, count(*) FILTER (WHERE status = 'processed') AS done FROM it WHERE parentItemId IS NOT NULL GROUP BY 1)
@@ -74,7 +74,7 @@ SUFFIX = "(?i)[ ,]+(?:inc|corp|ltd|llc|plc|gmbh|ag|co|s\\.?a)\\.?$"
 def plain_subjects(spark: SparkSession, d: str) -> DataFrame:
     """Subjects without the company form at their end."""
     s = F.regexp_replace(F.trim(F.regexp_replace("eventSubject", r"\s+", " ")), SUFFIX, "")
-    return items_once(spark, d).filter("eventSubject is not null").select("id", s.alias("subject"))
+    return items_once(spark, d, "eventSubject is not null").select("id", s.alias("subject"))
 
 
 @query(f"""WITH {ITEMS} SELECT it.id, it.eventDate IS NULL OR c.eventDate IS NULL OR starts_with(it.eventDate, c.eventDate) OR starts_with(c.eventDate, it.eventDate)
@@ -83,7 +83,7 @@ def plain_subjects(spark: SparkSession, d: str) -> DataFrame:
 def member_fit(spark: SparkSession, d: str) -> DataFrame:
     """Whether an item's event date and object fit its cluster's: dates of different precision fit if one holds the other."""
     c = table(spark, d, "content_clusters").select(F.col("id").alias("clusterId"), F.col("eventDate").alias("cd"), F.col("eventObject").alias("co"))
-    x = items_once(spark, d).filter("eventObject is not null").join(c, "clusterId")
+    x = items_once(spark, d, "eventObject is not null").join(c, "clusterId")
     day = lambda v: F.expr(f"try_to_date({v}, 'yyyy-MM-dd')")
     near = (F.length("eventDate") == 10) & (F.length("cd") == 10) & (F.abs(F.datediff(day("eventDate"), day("cd"))) <= 2)
     fit = F.col("eventDate").isNull() | F.col("cd").isNull() | F.col("eventDate").startswith(F.col("cd")) | F.col("cd").startswith(F.col("eventDate")) | near

@@ -113,15 +113,19 @@ def test_entity_suggestions_of_all_blocks(spark, tmp_path):
     assert ("e0000", "e0001") in want and single < want.keys()
 
 
-def test_bm25_of_different_subjects(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(clusters, "CHUNK", 2)
-    made = [("a", "bank fails", None, None, None), ("b", "bank rescued", "Bank Ltd", None, None), ("c", "bank fails", "Other", None, None), ("d", "rain", None, None, None), ("e", "bank", None, "x", None)]
-    spark.createDataFrame(made, "id string, title string, eventSubject string, eventObject string, summary string").write.parquet(f"{tmp_path}/content_clusters.parquet")
+def test_bm25_join_loses_no_pair(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(clusters, "CHUNK", 3)
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(40)]
+    made = [(f"c{i:03d}", " ".join(r.choices(words, weights=[1 / (k + 1) for k in range(40)], k=r.randrange(1, 12))), None, None, None) for i in range(60)] + [("e", "", None, None, None)]
+    frame = spark.createDataFrame(made, "id string, title string, summary string, eventSubject string, eventObject string")
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW content_clusters AS SELECT * FROM '{tmp_path}/content_clusters.parquet/*.parquet'")
-    got = clusters.bm25_pairs_all(spark, str(tmp_path)).toPandas()
-    assert {(a, b) for a, b in zip(got.a, got.b)} == {(a, b) for a in "abce" for b in "abce" if a < b}
-    assert rows(got) == rows(con.execute(catalog.SQL["bm25_pairs_all"]).fetchdf())
+    con.register("content_clusters", pd.DataFrame(made, columns=frame.columns))
+    for floor in (1, 50_000, 400_000, 1_500_000):
+        want = con.execute(catalog.SQL["bm25_pairs"].replace(str(clusters.BM25_FLOOR), str(floor))).fetchdf()
+        assert rows(clusters.bm25_join(frame, floor).toPandas()) == rows(want)
 
 
 def test_fuzzy_search_of_all_columns(spark):
