@@ -1,5 +1,5 @@
 """Every registered query of the core, with its SQL."""
 
-from loomline.operators import briefing, clusters, entities, evaluation, feed, ingest, metrics, requests, review  # noqa: F401
+from loomline.operators import briefing, clusters, entities, evaluation, feed, ingest, metrics, pairs, requests, review, scalars  # noqa: F401
 from loomline.registry import QUERIES, SQL  # noqa: F401
 from loomline.streaming import views  # noqa: F401
