@@ -110,10 +110,9 @@ def redacted(c: Column, most: int = 32 * 1024) -> Column:
     """Secrets masked, then at most `most` bytes, a character never cut."""
     for pattern, by in SECRETS:
         c = F.regexp_replace(c, pattern, by)
-    # the most characters that fit: bytes beyond a cut are found by length alone
-    ascii_only = F.octet_length(c) == F.length(c)
-    whole = F.regexp_replace(F.decode(F.substring(F.encode(c, "UTF-8"), 1, most), "UTF-8"), "\ufffd+$", "")
-    return F.when(F.octet_length(c) <= most, c).when(ascii_only, F.substring(c, 1, most)).otherwise(whole)
+    # a character that the cut leaves incomplete is a leading byte with too few bytes after it
+    cut = F.regexp_replace(F.hex(F.substring(F.encode(c, "UTF-8"), 1, most)), "(?:[CD].|E.(?:[89AB].)?|F.(?:[89AB].){0,2})$", "")
+    return F.when(F.octet_length(c) <= most, c).otherwise(F.decode(F.unhex(cut), "UTF-8"))
 
 
 def local_day(c: Column, hours: int = 8) -> Column:

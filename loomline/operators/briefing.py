@@ -105,19 +105,6 @@ def report_batches(spark: SparkSession, d: str) -> DataFrame:
     return c.filter(F.col("k") <= F.ceil(F.col("n") / 2)).select("entry", "k", F.floor((F.col("k") - 1) / 10).alias("batch"))
 
 
-@query(f"""WITH {VISIBLE}, r AS (SELECT eventType, eventSubject, eventObject, canonicalUrl, createdAt FROM vis WHERE createdAt >= TIMESTAMP '2026-06-26' AND createdAt < TIMESTAMP '2026-06-29'), c AS (SELECT * FROM vis WHERE createdAt >= TIMESTAMP '2026-06-29')
-    SELECT id FROM c WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.canonicalUrl = c.canonicalUrl) AND NOT EXISTS (SELECT 1 FROM r WHERE r.eventType = c.eventType AND r.eventSubject = c.eventSubject AND r.eventObject = c.eventObject)""")
-def without_recent_duplicates(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates that no recent report covered, by URL or by type, subject and object: alternative matchers are anti-joins one after the other, each on its own keys.
-
-    Of the reference's matchers, equal cluster, equal action and title similarity are missing, as is the rule that follow-ups survive.
-    """
-    v = visible(spark, d)
-    recent = v.filter("createdAt >= timestamp_ntz'2026-06-26' and createdAt < timestamp_ntz'2026-06-29'")
-    out = v.filter("createdAt >= timestamp_ntz'2026-06-29'").join(recent.select("canonicalUrl"), "canonicalUrl", "left_anti")
-    return out.join(recent.select("eventType", "eventSubject", "eventObject"), ["eventType", "eventSubject", "eventObject"], "left_anti").select("id")
-
-
 @query(f"""WITH {VISIBLE}, r AS (SELECT clusterId, id, qualityScore, row_number() OVER (PARTITION BY clusterId ORDER BY qualityScore DESC NULLS LAST, createdAt, id) AS k FROM vis WHERE clusterId IS NOT NULL)
     SELECT clusterId, id, k FROM r WHERE k IN (1, 2, 3, 4, 5, 8, 10, 15, 20)""")
 def rank_sample(spark: SparkSession, d: str) -> DataFrame:

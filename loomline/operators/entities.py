@@ -60,23 +60,13 @@ def resolved_mentions(spark: SparkSession, d: str) -> DataFrame:
     return out.select("id", "k", F.coalesce("a", "e", "name").alias("canonical"), F.col("a").isNotNull().alias("byAlias"), F.col("e").isNotNull().alias("byName"))
 
 
-@query()
-def entity_suggestions(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of entities of one block (first three characters and half the length) that are alike by spelling.
+# Signs and words that join two names into a relation.
+RELATION = r"[、/&|]|(?:^|[\s(\[{（【])(?:与|和|及|以及)(?=$|[\s)\]}）】])|[\p{L}\p{N}](?:与|和|及|以及)[\p{L}\p{N}]|(?:^|\s)(?:vs|versus)(?=$|\s)"
 
-    Edits are counted in characters; the oracle's edit distance counts bytes, so this one is tested by brute force.
-    """
-    low = F.lower("name")
-    compact = F.regexp_replace(low, r"[^\p{L}\p{N}]+", "")
-    words = F.filter(F.split(low, r"[^\p{L}\p{N}]+"), lambda x: x != "")
-    b = table(spark, d, "entities").select("id", compact.alias("compact"), F.array_join(F.array_sort(words), " ").alias("sorted")).filter("length(compact) >= 5")
-    b = b.withColumn("k", F.concat(F.substring("compact", 1, 3), F.floor(F.length("compact") / 2).cast("string")))
-    x, y = b.alias("x"), b.alias("y")
-    p = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.id") < F.col("y.id")))
-    edit = 1.0 - F.levenshtein("x.compact", "y.compact") / F.greatest(F.length("x.compact"), F.length("y.compact"))
-    same, moved = F.col("x.compact") == F.col("y.compact"), F.col("x.sorted") == F.col("y.sorted")
-    p = p.filter(same | moved | (edit >= 0.82))
-    return p.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.when(same, 0.99).when(moved, 0.96).otherwise(F.round(F.least(F.lit(0.94), edit), 6)).alias("similarity"))
+
+def singular(w: Column) -> Column:
+    return F.when(w.endswith("ies") & (F.length(w) > 4), F.concat(F.substring(w, F.lit(1), F.length(w) - 3), F.lit("y"))).when(
+        w.endswith("s") & (F.length(w) > 3) & ~w.endswith("ss") & ~w.endswith("us"), F.substring(w, F.lit(1), F.length(w) - 1)).otherwise(w)
 
 
 ALIKE = 0.82
@@ -132,21 +122,29 @@ def segment_keys(names: DataFrame) -> DataFrame:
     return names.select("compact").mapInArrow(run, "compact string, bits long, key string, index boolean")
 
 
-@query()
-def entity_suggestions_all(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of entities alike by spelling that share any of the four blocks: compact text, sorted words, a word of two letters or more, first three characters and half the length.
+def alike_names(names: DataFrame) -> DataFrame:
+    """(a, b, similarity, reason): pairs of different ids of (id, name) alike by spelling that share any of the four blocks: compact text,
+    sorted words, a word of two letters or more, first three characters and half the length; a < b, the best of an id's names.
 
-    Blocks of frequent words are never paired out: equal texts meet by text, names within the edit bound by an
-    intact piece (`segment_keys`, lossless), and sharing a block is then a condition on the pair. No block is left out for its size.
+    Equal compact text counts .99, the same words in another order .96, otherwise the share of characters that edits leave, from .82
+    to .94, in names of five or more. Equal names and names of relations are no pair. Blocks of frequent words are
+    never paired out: equal texts meet by text, names within the edit bound by an intact piece (`segment_keys`, lossless), and
+    sharing a block is then a condition on the pair. No block is left out for its size.
     """
-    low = F.lower("name")
-    words = F.filter(F.split(low, r"[^\p{L}\p{N}]+"), lambda x: x != "")
-    e = table(spark, d, "entities").select("id", F.array_join(words, "").alias("compact"), F.array_join(F.array_sort(words), " ").alias("sorted"), F.filter(words, lambda x: F.length(x) >= 2).alias("words"))
+    from loomline.functions.text import nfkc  # defining it needs a session
+
+    e = names.filter("id is not null and name is not null").select("id", F.lower(F.trim(nfkc(F.col("name")))).alias("low")).filter(~F.col("low").rlike(RELATION))
+    e = materialize(e.withColumn("w", F.filter(F.split("low", r"[^\p{L}\p{N}]+"), lambda x: x != "")).distinct(), "lower")
+    words = F.transform("w", singular)
+    e = e.select("id", F.regexp_replace("low", r"\s+", "").alias("tight"), F.array_join(words, "").alias("compact"), F.array_join(F.array_sort(words), " ").alias("sorted"), F.filter(words, lambda x: F.length(x) >= 2).alias("words"), "low")
     e = e.filter("compact <> ''").withColumn("k", F.when(F.length("compact") >= 5, F.concat(F.substring("compact", 1, 3), F.floor(F.length("compact") / 2).cast("string"))))
+    e = materialize(e, "names")
     x, y = e.alias("x"), e.alias("y")
     sides = [F.col("x.id").alias("a"), F.col("y.id").alias("b")]
-    same = x.join(y, (F.col("x.compact") == F.col("y.compact")) & (F.col("x.id") < F.col("y.id"))).select(*sides, F.lit(0.99).alias("similarity"))
-    moved = x.join(y, (F.col("x.sorted") == F.col("y.sorted")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.compact") != F.col("y.compact"))).select(*sides, F.lit(0.96).alias("similarity"))
+    ordered = (F.col("x.id") < F.col("y.id")) & (F.col("x.low") != F.col("y.low"))
+    why = F.when(F.col("x.tight") == F.col("y.tight"), "punctuation_match").otherwise("compact_match")
+    same = x.join(y, (F.col("x.compact") == F.col("y.compact")) & ordered).select(*sides, F.lit(0.99).alias("similarity"), why.alias("reason"))
+    moved = x.join(y, (F.col("x.sorted") == F.col("y.sorted")) & ordered & (F.col("x.compact") != F.col("y.compact"))).select(*sides, F.lit(0.96).alias("similarity"), F.lit("singular_match").alias("reason"))
     keys = materialize(segment_keys(e.select("compact").distinct()), "segments")
     p, q = keys.filter("index").alias("p"), keys.filter("not index").alias("q")
     longer = F.greatest(F.length("p.compact"), F.length("q.compact"))
@@ -158,8 +156,120 @@ def entity_suggestions_all(spark: SparkSession, d: str) -> DataFrame:
     block = F.arrays_overlap("x.words", "y.words") | F.coalesce(F.col("x.k") == F.col("y.k"), F.lit(False))
     pairs = near.join(x, F.col("l") == F.col("x.compact")).join(y, F.col("r") == F.col("y.compact"))
     pairs = pairs.filter((F.col("x.id") != F.col("y.id")) & (F.col("x.sorted") != F.col("y.sorted")) & block)
-    close = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), F.round(F.least(F.lit(0.94), F.col("edit")), 6).alias("similarity"))
-    return same.unionByName(moved).unionByName(close).distinct()
+    close = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), F.round(F.least(F.lit(0.94), F.col("edit")), 6).alias("similarity"), F.lit("edit_distance").alias("reason"))
+    best = same.unionByName(moved).unionByName(close).groupBy("a", "b").agg(F.max(F.struct("similarity", "reason")).alias("m"))
+    return best.select("a", "b", "m.similarity", "m.reason")
+
+
+@query()
+def entity_suggestions(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of entities alike by spelling. Edits are counted in characters, which SQL here counts in bytes: tested by brute force."""
+    return alike_names(table(spark, d, "entities").select("id", "name"))
+
+
+@query()
+def entity_best_similarity(spark: SparkSession, d: str) -> DataFrame:
+    """The same over all forms of an entity: its name, its normal form and its aliases."""
+    e = table(spark, d, "entities")
+    forms = e.select("id", "name").unionByName(e.select("id", F.col("normalized").alias("name"))).unionByName(table(spark, d, "aliases").select(F.col("entityId").alias("id"), F.col("aliasName").alias("name")))
+    return alike_names(forms)
+
+
+SIZED = f"{ITEM_ENTITIES}, n AS (SELECT k, count(*) AS items FROM ie GROUP BY 1), al AS (SELECT entityId, count(*) AS aliases FROM aliases GROUP BY 1), sz AS (SELECT e.id, e.name, e.normalized, e.createdAt, coalesce(items, 0) AS items, coalesce(aliases, 0) AS aliases FROM entities e LEFT JOIN n ON n.k = e.normalized LEFT JOIN al ON al.entityId = e.id)"
+
+
+def sized(spark: SparkSession, d: str) -> DataFrame:
+    """Entities with their numbers of items and aliases."""
+    n = item_entity_links(spark, d).groupBy(F.col("k").alias("normalized")).agg(F.count(F.lit(1)).alias("items"))
+    a = table(spark, d, "aliases").groupBy(F.col("entityId").alias("id")).agg(F.count(F.lit(1)).alias("aliases"))
+    return table(spark, d, "entities").select("id", "name", "normalized", "createdAt").join(n, "normalized", "left").join(a, "id", "left").fillna(0, ["items", "aliases"])
+
+
+def preference(p: str) -> Column:
+    """What a canonical entity is chosen by, the least first: more items, more aliases, the shorter name, the older, then the id."""
+    return F.struct((-F.col(f"{p}.items")).alias("i"), (-F.col(f"{p}.aliases")).alias("a"), F.length(f"{p}.name").alias("l"), F.col(f"{p}.createdAt").alias("c"), F.col(f"{p}.id").alias("id"))
+
+
+@query()
+def suggestion_records(spark: SparkSession, d: str) -> DataFrame:
+    """Suggested merges: source into target by preference, with shared items; pairs that an alias already joins are left out, and each expires in a week."""
+    s, z = alike_names(table(spark, d, "entities").select("id", "name")), sized(spark, d)
+    p = s.join(z.alias("x"), F.col("a") == F.col("x.id")).join(z.alias("y"), F.col("b") == F.col("y.id"))
+    first = preference("x") < preference("y")
+    pick = lambda c, yes, no: F.when(first, F.col(f"{yes}.{c}")).otherwise(F.col(f"{no}.{c}"))
+    p = p.select(pick("id", "y", "x").alias("source"), pick("id", "x", "y").alias("target"), pick("normalized", "y", "x").alias("ks"), pick("normalized", "x", "y").alias("kt"), "similarity", "reason")
+    known = table(spark, d, "aliases").filter("entityId is not null").select(F.col("entityId").alias("target"), F.col("aliasNormalized").alias("ks")).distinct()
+    ie = item_entity_links(spark, d).select("id", "k")
+    both = p.join(ie.select("id", F.col("k").alias("ks")), "ks").join(ie.select("id", F.col("k").alias("kt")), ["id", "kt"]).groupBy("source", "target").agg(F.count(F.lit(1)).alias("shared"))
+    out = p.join(known, ["target", "ks"], "left_anti").join(both, ["source", "target"], "left").fillna(0, ["shared"])
+    return out.select("source", "target", "similarity", "reason", "shared", F.lit("2026-07-07").cast("date").alias("expires"))
+
+
+@query()
+def suggestion_list(spark: SparkSession, d: str) -> DataFrame:
+    """The first fifty suggestions by confidence, then by shared items."""
+    return suggestion_records(spark, d).orderBy(F.desc("similarity"), F.desc("shared"), "source", "target").limit(50)
+
+
+@query()
+def alias_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """The thirty likeliest aliases to be judged: names alike, and subjects that stand together in clusters, the votes of each counted in."""
+    alike = suggestion_records(spark, d).select(F.col("source").alias("a"), F.col("target").alias("b"), F.round(F.col("similarity") * 100).cast("long").alias("votes"))
+    ids = table(spark, d, "entities").filter("normalized is not null").groupBy("normalized").agg(F.min("id").alias("id"))
+    v = subject_votes(spark, d).filter("votes >= 2").join(ids.select(F.col("normalized").alias("a"), F.col("id").alias("ia")), "a").join(ids.select(F.col("normalized").alias("b"), F.col("id").alias("ib")), "b")
+    both = alike.unionByName(v.select(F.col("ia").alias("a"), F.col("ib").alias("b"), "votes"))
+    g = both.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("votes").alias("votes"))
+    return g.orderBy(F.desc("votes"), "a", "b").limit(30)
+
+
+@query()
+def resolved_on_write(spark: SparkSession, d: str) -> DataFrame:
+    """Mentions without an alias or an entity of their name, and the entity whose spelling is nearest, the preferred of equals; null if none is near."""
+    open_ = resolved_mentions(spark, d).filter("not byAlias and not byName").select("k").distinct()
+    z = sized(spark, d).select(F.concat(F.lit("e:"), "id").alias("id"), "name", "items")
+    p = alike_names(z.select("id", "name").unionByName(open_.select(F.concat(F.lit("m:"), "k").alias("id"), F.col("k").alias("name"))))
+    hit = p.filter("a like 'e:%' and b like 'm:%'").join(z.select(F.col("id").alias("a"), "items"), "a").groupBy("b").agg(F.max(F.struct("similarity", "items", "a")).alias("m"))
+    return open_.join(hit.select(F.substring("b", 3, 1000).alias("k"), F.substring(F.col("m.a"), 3, 1000).alias("entityId"), F.col("m.similarity").alias("similarity")), "k", "left")
+
+
+MERGED = "mg AS (SELECT e.id AS source, min(a.entityId) AS target FROM entities e JOIN aliases a ON a.aliasNormalized = e.normalized AND a.entityId <> e.id GROUP BY 1), once AS (SELECT source, target FROM mg WHERE target NOT IN (SELECT source FROM mg))"
+
+
+def merge_entities(links: DataFrame, merges: DataFrame) -> DataFrame:
+    """Links (id, entityId) after (source, target) merges; an item linked to both keeps one."""
+    moved = links.join(merges.select(F.col("source").alias("entityId"), "target"), "entityId", "left")
+    return moved.select("id", F.coalesce("target", "entityId").alias("entityId")).distinct()
+
+
+@query(f"WITH {ITEM_ENTITIES}, {MERGED}, l AS (SELECT ie.id, e.id AS entityId FROM ie JOIN entities e ON e.normalized = ie.k) SELECT DISTINCT l.id, coalesce(target, entityId) AS entityId FROM l LEFT JOIN once ON source = entityId")
+def merged_entity_links(spark: SparkSession, d: str) -> DataFrame:
+    """Items' entities after every entity that is another's alias is merged into it."""
+    e = table(spark, d, "entities").filter("normalized is not null").select(F.col("id").alias("entityId"), F.col("normalized").alias("k"))
+    links = item_entity_links(spark, d).select("id", "k").join(e, "k").select("id", "entityId")
+    a = table(spark, d, "aliases").filter("entityId is not null").select(F.col("aliasNormalized").alias("k"), F.col("entityId").alias("target"))
+    m = e.join(a, "k").filter("entityId <> target").groupBy(F.col("entityId").alias("source")).agg(F.min("target").alias("target"))
+    return merge_entities(links, m.join(m.select(F.col("source").alias("target")), "target", "left_anti"))
+
+
+@query(f"WITH {ITEM_ENTITIES} SELECT k AS normalized, min(name) AS name, count(*) AS items FROM ie WHERE NOT EXISTS (SELECT 1 FROM entities e WHERE e.normalized = ie.k) GROUP BY 1")
+def entity_backfill(spark: SparkSession, d: str) -> DataFrame:
+    """Names of items that are no entity yet, each once."""
+    have = table(spark, d, "entities").filter("normalized is not null").select(F.col("normalized").alias("k"))
+    return item_entity_links(spark, d).join(have, "k", "left_anti").groupBy(F.col("k").alias("normalized")).agg(F.min("name").alias("name"), F.count(F.lit(1)).alias("items"))
+
+
+SORTS = {"items": ("items", "aliases"), "aliases": ("aliases", "items"), "newest": ("createdAt",), "name": ()}
+
+
+@query(f"WITH {SIZED} SELECT id, name, items, aliases FROM sz WHERE contains(lower(name), 'bank') ORDER BY aliases DESC, items DESC, name, id LIMIT 25 OFFSET 0")
+def entity_search(spark: SparkSession, d: str) -> DataFrame:
+    return entity_page(sized(spark, d), "Bank", "aliases")
+
+
+def entity_page(entities: DataFrame, search: str | None, sort: str, number: int = 1, size: int = 25) -> DataFrame:
+    """A page of sized entities whose name holds the search text, in one of four orders."""
+    found = entities.filter(F.lower("name").contains(search.lower())) if search else entities
+    return found.orderBy(*[F.desc(c) for c in SORTS[sort]], "name", "id").offset((number - 1) * size).limit(size).select("id", "name", "items", "aliases")
 
 
 @query(f"WITH {ITEM_ENTITIES} SELECT a.k AS a, b.k AS b, count(*) AS items FROM ie a JOIN ie b ON a.id = b.id AND a.k < b.k GROUP BY 1, 2 HAVING count(*) >= 3")

@@ -155,12 +155,6 @@ def feed_search_all_terms(spark: SparkSession, d: str) -> DataFrame:
     return visible(spark, d).filter(found).select("id")
 
 
-@query(rf"""WITH {VISIBLE} SELECT id FROM vis WHERE regexp_matches(regexp_replace(lower(originalTitle), '[^\p{{L}}\p{{N}}]+', '', 'g'), 'recalls.*units')""")
-def feed_search_fuzzy(spark: SparkSession, d: str) -> DataFrame:
-    compact = F.regexp_replace(F.lower("originalTitle"), r"[^\p{L}\p{N}]+", "")
-    return visible(spark, d).filter(compact.rlike("recalls.*units")).select("id")
-
-
 def fuzzy_match(query_text: str, corpus: Column) -> Column:
     """Whether a corpus in lower case and NFKC matches every term, in any order: as it stands, without separators, or, with Chinese characters, as a subsequence."""
     separators = r"[\s\p{P}\p{S}_]+"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomline.operators.briefing import RANK, START, day_start, with_title_similarity
+from loomline.operators.briefing import RANK, START, day_start
 from loomline.operators.feed import half_up, visible
 from loomline.registry import VISIBLE, query
 from loomline.runtime import materialize
@@ -107,20 +107,23 @@ def _sides(p: str, o: str) -> str:
       coalesce(eventAction = ra, false) AS sameAction, coalesce(eventDate = rd, false) AS sameDate, eventDate IS NULL OR rd IS NULL AS noDate FROM x, y),
     dup AS (SELECT DISTINCT id FROM p WHERE ru = canonicalUrl OR rc = clusterId OR (coalesce(eventSubject, '') <> '' AND coalesce(eventObject, '') <> '' AND eventSubject = rsub AND eventObject = robj AND (noDate OR eventDate = rd)
       AND CASE WHEN eventAction IS NOT NULL AND ra IS NOT NULL THEN eventAction = ra ELSE coalesce(eventType = rt, false) END) OR ({SOFT})) SELECT id FROM c WHERE id NOT IN (SELECT id FROM dup)""")
-def without_recent_duplicates_all(spark: SparkSession, d: str) -> DataFrame:
+def without_recent_duplicates(spark: SparkSession, d: str) -> DataFrame:
     """Candidates that no recent report covered: by URL, by cluster, by event, or by a title and signature alike.
 
     The exact matchers are anti-joins, each on its own key. Titles alike meet by subject, or by a pair of neighbouring
     characters: titles half alike share one among the rarer half of either's, and of a title within another
     every one is shared, so the rarest of each routes too; the exact conditions are then put to what met.
     """
+    from loomline.functions.text import nfkc  # defining it needs a session
+
     c, r = (materialize(x.select("id", "originalTitle", "clusterId", "canonicalUrl", "eventType", "eventSubject", "eventAction", "eventObject", "eventDate"), "side") for x in day_items(spark, d))
     left = c.join(r.select("canonicalUrl").distinct(), "canonicalUrl", "left_anti").join(r.filter("clusterId is not null").select("clusterId").distinct(), "clusterId", "left_anti")
     left = materialize(left, "left")
     low = lambda x: F.lower(F.trim(F.coalesce(x, F.lit(""))))
-    plain = lambda df: df.withColumn("x", F.regexp_replace(F.lower("originalTitle"), r"[^\p{L}\p{N}]+", "")).withColumn("s", low("eventSubject")).withColumn("o", low("eventObject"))
+    plain = lambda df: df.withColumn("x", F.regexp_replace(F.lower(nfkc(F.col("originalTitle"))), r"[^\p{L}\p{N}]+", "")).withColumn("s", low("eventSubject")).withColumn("o", low("eventObject"))
     grams = F.array_distinct(F.when(F.length("x") < 2, F.array("x")).otherwise(F.transform(F.sequence(F.lit(1), F.length("x") - 1), lambda i: F.substring(F.col("x"), i, F.lit(2)))))
-    a, b = plain(left).withColumn("g", grams), plain(r).withColumn("g", grams)
+    # titles are prepared once each, their pairs of characters as hashes, so that a pair of titles costs one intersection
+    a, b = (materialize(plain(df).withColumn("g", F.transform(grams, lambda t: F.xxhash64(t))), "titles") for df in (left, r))
     count = b.select(F.explode("g").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
 
     def ordered(df: DataFrame) -> DataFrame:
@@ -133,9 +136,11 @@ def without_recent_duplicates_all(spark: SparkSession, d: str) -> DataFrame:
     met = ends(half(ta), half(tb)).unionByName(ends(ta.filter("k = 0"), tb)).unionByName(ends(ta, tb.filter("k = 0")))
     met = met.unionByName(a.filter("s <> ''").select(F.col("id").alias("i"), "s").join(b.select(F.col("id").alias("j"), "s"), "s").select("i", "j"))
     event = (F.col("eventSubject") == F.col("bs")) & (F.col("eventObject") == F.col("bo"))
-    right = b.select(F.col("id").alias("j"), F.col("originalTitle").alias("ytitle"), F.col("s").alias("rs"), F.col("o").alias("ro"), F.col("eventType").alias("rt"), F.col("eventAction").alias("ra"), F.col("eventDate").alias("rd"), F.col("eventSubject").alias("bs"), F.col("eventObject").alias("bo"))
-    p = met.distinct().join(a.select(F.col("id").alias("i"), "originalTitle", F.col("s").alias("cs"), F.col("o").alias("co"), "eventType", "eventAction", "eventDate", "eventSubject", "eventObject"), "i").join(right, "j")
-    p = with_title_similarity(p, "originalTitle", "ytitle", "sim")
+    right = b.select(F.col("id").alias("j"), F.col("x").alias("y"), F.col("g").alias("h"), F.col("s").alias("rs"), F.col("o").alias("ro"), F.col("eventType").alias("rt"), F.col("eventAction").alias("ra"), F.col("eventDate").alias("rd"), F.col("eventSubject").alias("bs"), F.col("eventObject").alias("bo"))
+    p = met.distinct().join(a.select(F.col("id").alias("i"), "originalTitle", "x", "g", F.col("s").alias("cs"), F.col("o").alias("co"), "eventType", "eventAction", "eventDate", "eventSubject", "eventObject"), "i").join(right, "j")
+    p = p.withColumn("n", F.size(F.array_intersect("g", "h")))
+    alike = F.when((F.col("x") == "") | (F.col("y") == ""), 0.0).when(F.col("x").contains(F.col("y")) | F.col("y").contains(F.col("x")), 1.0)
+    p = p.withColumn("sim", alike.otherwise(F.col("n") / (F.size("g") + F.size("h") - F.col("n"))))
     p = p.withColumn("turn", F.col("originalTitle").rlike(TURNS)).withColumn("sameAction", F.coalesce(F.col("eventAction") == F.col("ra"), F.lit(False))).withColumn("sameDate", F.coalesce(F.col("eventDate") == F.col("rd"), F.lit(False)))
     p = p.withColumn("noDate", F.col("eventDate").isNull() | F.col("rd").isNull())
     kind = F.when(F.col("eventAction").isNotNull() & F.col("ra").isNotNull(), F.col("eventAction") == F.col("ra")).otherwise(F.coalesce(F.col("eventType") == F.col("rt"), F.lit(False)))

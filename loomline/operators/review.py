@@ -23,12 +23,6 @@ def reparse_candidates(spark: SparkSession, d: str) -> DataFrame:
     return it.orderBy(F.desc("createdAt"), F.desc("id")).limit(200).select("id")
 
 
-@query(f"WITH {ITEMS} SELECT id, sid FROM it WHERE moderationStatus = 'filtered' AND (contains(lower(originalTitle), 'chip') OR contains(lower(coalesce(rssExcerpt, '')), 'chip')) AND createdAt >= TIMESTAMP '2026-06-22'")
-def filtered_review(spark: SparkSession, d: str) -> DataFrame:
-    found = F.lower("originalTitle").contains("chip") | F.coalesce(F.lower("rssExcerpt"), F.lit("")).contains("chip")
-    return items_once(spark, d, "moderationStatus = 'filtered' and createdAt >= timestamp_ntz'2026-06-22'").filter(found).select("id", "sid")
-
-
 FILTERED_COLUMNS = ("originalTitle", "translatedTitle", "summaryText", "rssExcerpt")
 
 

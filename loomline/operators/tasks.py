@@ -128,7 +128,7 @@ def salvaged(answers: DataFrame, expected: DataFrame) -> DataFrame:
     n = F.row_number().over(Window.partitionBy("known").orderBy(F.when(F.col("x.relation").isin(*RELATIONS), 0).otherwise(1), "text", "k"))
     rows = rows.withColumn("n", F.when(F.col("known").isNotNull(), n))
     why = F.when(F.col("x").isNull(), "unreadable").when(F.col("known").isNull(), "unknown pair").when(~F.coalesce(F.col("x.relation").isin(*RELATIONS), F.lit(False)), "unknown relation").when(F.col("n") > 1, "repeated pair")
-    return rows.select(F.col("x.pair_id").alias("pair_id"), F.col("x.relation").alias("relation"), F.least(F.lit(100), F.greatest(F.lit(0), F.col("x.confidence"))).alias("confidence"), why.alias("dropped"))
+    return rows.select(F.col("x.pair_id").alias("pair_id"), F.col("x.relation").alias("relation"), F.when(F.col("x.confidence").isNotNull(), F.least(F.lit(100), F.greatest(F.lit(0), F.col("x.confidence")))).alias("confidence"), why.alias("dropped"))
 
 
 @query(f"WITH {ITEMS} SELECT max(updatedAt) AS newest, count(*) AS items, sha256(CAST(count(*) AS VARCHAR) || '|' || CAST(sum(length(id)) AS VARCHAR)) AS version FROM it")
