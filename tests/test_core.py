@@ -275,3 +275,17 @@ def test_pages_beyond_the_last_are_the_last(spark):
     df = spark.createDataFrame(rows, "created timestamp, score int, itemCount int, entryId string")
     ids = lambda n: sorted(r.entryId for r in feed.page(df, "newest", n, 3).collect())
     assert ids(1) == ["e4", "e5", "e6"] and ids(3) == ids(9) == ["e0"] and feed.page(df.limit(0), "newest", 2).count() == 0
+
+
+def test_embeddings_are_cached_and_failures_stay_alone(spark):
+    from loomline.operators import lists
+
+    def embed(texts):
+        if "bad" in texts:
+            raise ValueError
+        return [[float(len(t))] for t in texts]
+
+    texts = spark.createDataFrame([("1", "h1", "abc"), ("2", "h2", "bad"), ("3", "h3", "xy"), ("4", "h3", "xy")], "id string, hash string, text string")
+    cache = spark.createDataFrame([("h1", [9.0])], "hash string, vector array<float>")
+    got = {r.id: r.vector for r in lists.embedded(texts, cache, embed).collect()}
+    assert got == {"1": [9.0], "2": None, "3": [2.0], "4": [2.0]}
