@@ -315,10 +315,30 @@ def radius_join(names: DataFrame, radius: int = RADIUS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(key[new].view(np.int64)), pa.array(rid[of[new]])], names=["key", "rid"])
 
     cell = names.select("space", "name", "rid").mapInArrow(balls, "key long, rid long")
-    # most balls hold one name: counting map-side first keeps those out of the lists
-    met = cell.groupBy("key").agg(F.collect_list("rid").alias("rids")).filter(F.size("rids") > 1)
-    a = met.select("rids", F.explode("rids").alias("a"))
-    pairs = a.select("a", F.explode("rids").alias("b")).filter("a < b").distinct()
+    def meet(key: np.ndarray, rid: np.ndarray) -> pa.RecordBatch:
+        """The pairs of names of each run of equal keys, each once."""
+        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+        size = np.diff(np.r_[start, len(key)])
+        found = [np.zeros((0, 2), np.int64)]
+        for m in np.unique(size[size > 1]).tolist():
+            at = start[size == m]
+            for i in range(m - 1):  # each name with those after it
+                x, y = np.repeat(rid[at + i], m - 1 - i), rid[at[:, None] + np.arange(i + 1, m)].ravel()
+                found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    def runs(batches):
+        key = rid = np.zeros(0, np.int64)
+        for batch in batches:
+            key, rid = np.r_[key, batch.column(0).to_numpy()], np.r_[rid, batch.column(1).to_numpy()]
+            cut = int(np.searchsorted(key, key[-1])) if len(key) else 0  # the last run may go on
+            yield meet(key[:cut], rid[:cut]) if cut else meet(key[:0], rid[:0])
+            key, rid = key[cut:], rid[cut:]
+        yield meet(key, rid)
+
+    # sorted by key, a partition is read as runs: most balls hold one name and cost nothing more
+    pairs = cell.repartition("key").sortWithinPartitions("key").mapInArrow(runs, "a long, b long").distinct()
     one, two = (names.select(F.col("rid").alias(r), F.col("space").alias("space" + r), F.col("name").alias("n" + r)) for r in "ab")
     pairs = pairs.join(one, "a").join(two, "b").filter("spacea = spaceb").select(F.col("spacea").alias("space"), "na", "nb")
 
