@@ -140,7 +140,9 @@ def test_child_closure_is_deep_and_ends(spark, tmp_path):
     assert len(got) == len(want) and set(got) == want
 
 
-def test_components(spark):
+@pytest.mark.parametrize("chunk", [2000, 0])  # 0: every vertex counts as a hub
+def test_components(spark, monkeypatch, chunk):
+    monkeypatch.setattr(clusters, "CHUNK", chunk)
     pairs = [(f"n{i}", f"n{i + 1}") for i in range(30)] + [("a", "b"), ("b", "a"), ("c", "b")]
     got = {r.id: r.component for r in clusters.components(spark.createDataFrame(pairs, "a string, b string")).collect()}
     assert got == {f"n{i}": "n0" for i in range(31)} | {"a": "a", "b": "a", "c": "a"}
