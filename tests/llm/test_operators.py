@@ -1,5 +1,6 @@
 """The operators against brute force on small inputs, with nulls, empty and long texts, ties, repeats and clashing columns."""
 
+import math
 import random
 from collections import defaultdict
 from datetime import datetime, timedelta
@@ -314,3 +315,26 @@ def test_lookalikes_of_more_scripts_and_whole_words(spark):
     rows = [("f", "1", "Hօuse Սnion"), ("f", "2", "ᎪᎡt ﬁne Ⅳ"), ("f", "3", "𝐁ank"), ("f", "4", "Առավոտ"), ("f", "5", "Ꮳꮃꮒ"), ("f", "6", "pаn pаnama"), ("f", "7", "…№ ½")]
     got = {x.rowId: x.plain for x in lookalike.find_odd(spark.createDataFrame(rows, "field string, rowId string, value string")).collect()}
     assert got == {"1": "House Union", "2": "ARt fine IV", "3": "Bank", "6": "pan panama"}
+
+
+def test_near_duplicates_in_rounds(spark, monkeypatch):
+    r = random.Random(5)
+    texts = [" ".join(r.choice("red green blue one two three".split()) + str(r.randrange(30)) for _ in range(8)) for _ in range(150)]
+    frame = spark.createDataFrame([("t", f"{k}{x}", v + x) for k, v in enumerate(texts) for x in ("", "!")], "tableName string, id string, text string")
+    want = {tuple(x) for x in near_dup.near_duplicate_pairs(frame).collect()}
+    monkeypatch.setattr(near_dup, "PART_BYTES", 3_000)
+    monkeypatch.setattr(near_dup, "ROUND", 2)
+    seen = []
+    monkeypatch.setattr(near_dup, "plan", lambda *x, real=near_dup.plan: seen.append(real(*x)) or seen[-1])
+    assert {tuple(x) for x in near_dup.near_duplicate_pairs(frame).collect()} == want and len(want) >= 150
+    assert seen[0][0] > 4 and seen[0][1] > 1
+
+
+@pytest.mark.parametrize("times", [1, 10, 50, 1000])
+def test_what_a_round_routes_does_not_grow_with_the_parts(times):
+    texts, keys, tokens = 371_000 * times, 71 * 371_000 * times, 60_000_000 * times
+    parts, rounds = near_dup.plan(texts, keys, tokens, 6)
+    touched = parts * -math.expm1(-71 / parts)
+    assert texts * (76 * touched + 8 * 71) / rounds <= near_dup.ROUND * tokens
+    assert texts * (76 * touched + 8 * 71) / parts <= near_dup.PART_BYTES * 1.01
+    assert rounds <= max(6, -(-71 * 84 * 371_000 // (near_dup.ROUND * 60_000_000)))
